@@ -1,6 +1,9 @@
 """Spark session for local runs, tests and the bench."""
 
 import os
+import pathlib
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,17 @@ def get_spark(app: str = "lodeseek", cpus: int | None = None) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context, so that Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_lodeseek_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp(prefix="lodeseek-")) / "lodeseek-package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._lodeseek_shipped = True
