@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.session import ship_package
+
 #: A word: a run of characters other than ASCII white space (fixed by the data contract).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -45,3 +47,9 @@ def word_count(text: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def arrow_map(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows.mapInArrow, with this package sent to the workers first."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
