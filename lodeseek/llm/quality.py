@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.common import arrow_map
+from lodeseek.llm.wordhash import SPACES, word_hashes
 
 #: The bound of the training sample.
 TRAIN_ROWS = 1500
@@ -31,50 +32,16 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 
 _M = np.uint32(0x9E3779B1)
 _SHIFT = np.uint32(32 - BITS)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as a text has needed them."""
-
-    BASE = 0x5851F42D4C957F2D
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
-#: A fixed pseudo-random 64-bit number for each byte.
-_BYTE = np.array([((i + 1) * 0x9E3779B97F4A7C15 ^ ((i + 7) * 0xC2B2AE3D27D4EB4F >> 13)) & (2**64 - 1) for i in range(256)], np.uint64)
-
-
 class Words:
     """Words of a text as numbers: a 64-bit hash for each word, and ids of the distinct ones."""
 
     def __init__(self, data: bytes):
-        a = np.frombuffer(data, np.uint8)
-        inside = ~_SPACE[a]
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
-        starts, ends = edges[::2], edges[1::2]
-        up, down = _POWERS.to(len(a) + 1)
-        sums = np.zeros(len(a) + 1, np.uint64)
-        np.cumsum(_BYTE[a] * up[: len(a)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
-        self.hashes = h ^ (h >> np.uint64(33))
+        self.hashes = word_hashes(data)
         self._ids = None
 
     def __len__(self) -> int:

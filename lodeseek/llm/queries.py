@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm.bpe import bpe_digests
 from lodeseek.llm.common import read_table
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.jaccard import ngram_jaccard_join
 from lodeseek.llm.mixing import mix_plan
 from lodeseek.llm.quality import quality_rules, train
 
@@ -27,6 +28,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality_rules(docs, train(docs, read_table(spark, sf_dir, "labels")))
@@ -36,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
