@@ -1,7 +1,101 @@
 """DuckDB SQL for the opN queries that SQL can express."""
 
+from lodeseek.llm.licences import _SUBJECT, _VERB, RULES, TRIGGER, _known
+from lodeseek.llm.queries import SPAM
+
 ORACLES: dict[str, str] = {}
 
+ORACLES["op2_line_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs
+), worded AS (
+  SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT doc_id, i AS first, lead(i, 2) OVER o AS last, line AS l1, lead(line) OVER o AS l2, lead(line, 2) OVER o AS l3
+  FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), ranked AS (
+  SELECT doc_id, first, last, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, first) AS turn FROM w WHERE last IS NOT NULL
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM ranked WHERE turn > 1
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text, count(*) AS n
+  FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, len(d.lines)::BIGINT AS n_lines, (len(d.lines) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in _known().items())
+    sql = rf"""
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g'),
+    '\n([ \t\r]*[A-Z0-9\n])', chr(1) || '\1', 'g'), chr(1)) AS parts
+  FROM documents WHERE regexp_matches(text, '{TRIGGER}')
+), s AS (
+  SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM cut
+), plain AS (
+  SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '\.( |$)', '\1', 'g')) AS s FROM s
+), stated AS (
+  SELECT doc_id, i, regexp_replace(regexp_replace(s, '{_SUBJECT}', ''), '{_VERB}', 'under ') AS s FROM plain
+), known(s, name) AS (VALUES {known}), ids AS (
+  SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY i) AS ids, '|' || string_agg(name, '||' ORDER BY i) || '|' AS seq
+  FROM stated JOIN known USING (s) GROUP BY doc_id
+), r0 AS (SELECT doc_id, n, ids, seq, []::VARCHAR[] AS found FROM ids)"""
+    for k, (seq, licence) in enumerate(RULES):
+        pattern = "|" + "||".join(seq) + "|"
+        sql += f""", r{k + 1} AS (
+  SELECT doc_id, n, ids, replace(seq, '{pattern}', '||') AS seq,
+    CASE WHEN contains(seq, '{pattern}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM r{k})"""
+    return sql + f"""
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licences
+FROM documents d LEFT JOIN r{len(RULES)} USING (doc_id)
+"""
+
+
+ORACLES["op3_licences"] = _licence_sql()
+
+
+def _url_sql() -> str:
+    rows = ", ".join(
+        f"('spam', 'd:{name}.example.{zone}', 'block', TIMESTAMP '{day}', '{action}')"
+        for name, since, until in SPAM for zone in ("com", "net", "org")
+        for day, action in ((since, "add"), (until, "remove")) if day
+    )
+    return rf"""
+WITH p AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host
+  FROM pages
+), h AS (
+  SELECT host, ('0x' || substr(md5(host), 1, 6))::INT AS n FROM (SELECT DISTINCT host FROM p WHERE host <> '')
+), entries(list, key, verdict, since, action) AS (
+  SELECT * FROM (VALUES {rows})
+  UNION ALL SELECT 'hosts', 'd:' || host, 'block', TIMESTAMP '2024-01-01' + to_days(n % 180), 'add' FROM h WHERE n % 7 = 0
+  UNION ALL SELECT 'hosts', 'd:' || host, 'block', TIMESTAMP '2024-01-01' + to_days(n % 180 + 90), 'remove' FROM h WHERE n % 7 = 0
+  UNION ALL SELECT 'allowed', 'd:' || host, 'allow', TIMESTAMP '2024-01-01' + to_days(182), 'add' FROM h WHERE n % 7 <> 0 AND n % 3 = 0
+), spans AS (
+  SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list, key ORDER BY since) AS until FROM entries) WHERE action = 'add'
+), labels AS (
+  SELECT page_id, fetched, string_split(host, '.') AS parts FROM p WHERE host <> ''
+), looked AS (
+  SELECT page_id, fetched, 'd:' || array_to_string(parts[k:], '.') AS key FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM labels)
+), active AS (
+  SELECT page_id, key, verdict, row_number() OVER (PARTITION BY page_id ORDER BY -length(key), verdict, list, key) AS turn,
+         count(*) OVER (PARTITION BY page_id) AS n
+  FROM looked JOIN spans USING (key) WHERE since <= fetched AND (until IS NULL OR fetched < until)
+)
+SELECT p.page_id, p.url, coalesce(a.n, 0)::BIGINT AS n_active, a.key AS matched, coalesce(a.verdict = 'block', FALSE) AS blocked
+FROM p LEFT JOIN active a ON p.page_id = a.page_id AND a.turn = 1
+"""
+
+
+ORACLES["op8_url_filter"] = _url_sql()
+
 ORACLES["op5_exact_dedup"] = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
