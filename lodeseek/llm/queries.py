@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import bpe_digests
-from lodeseek.llm.common import read_table
+from lodeseek.llm.common import fresh_path, read_table
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.html_text import extract_text
 from lodeseek.llm.jaccard import ngram_jaccard_join
 from lodeseek.llm.licences import licence_scan
 from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.mixing import mix_plan
 from lodeseek.llm.quality import quality_rules, train
 from lodeseek.llm.url_filters import host_of, url_filter
+from lodeseek.llm.warc import read_warc, resolved, write_warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    records = resolved(read_warc(write_warc(pages, fresh_path(spark, "warc"))))
+    kind = pages.schema["page_id"].dataType
+    return records.select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +40,10 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -103,8 +118,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
     "op3_licences": op3_licences,
+    "op4_html_text": op4_html_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe": op7_bpe,
