@@ -16,6 +16,7 @@ import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,10 +209,10 @@ def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     return arrow_map(rows, run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Encodes each text, decodes the ids, and returns digests of both: id, n_tokens, ids_sha256, decoded_sha256.
 
-    The same rules as bpe_encode; ids and texts stay in the worker.
+    The same rules as bpe_encode; the ids come too if keep_ids, and stay in the worker otherwise.
     """
     shared = _Shared(docs.sparkSession, path or default_path())
 
@@ -220,18 +221,21 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             encoder = _encoder(shared)
             names = names or [str(i) for i in range(len(encoder.bytes_of))]
-            counts, of_ids, of_texts = [], [], []
+            counts, of_ids, of_texts, kept = [], [], [], []
             for text in _texts(batch, "text"):
                 ids = encoder.encode(text)
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 of_texts.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if keep_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+            if keep_ids:
+                marks = np.cumsum([0, *counts]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(marks), pa.array(np.concatenate([*kept, np.zeros(0, np.int32)]))))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = arrow_map(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = arrow_map(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
     return out.withColumnRenamed("id", id_col)

@@ -49,7 +49,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(rows: DataFrame, run, schema: str) -> DataFrame:
+def arrow_map(rows: DataFrame, run, schema) -> DataFrame:
     """rows.mapInArrow, with this package sent to the workers first."""
     ship_package(rows.sparkSession)
     return rows.mapInArrow(run, schema)

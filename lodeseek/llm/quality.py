@@ -223,6 +223,19 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     return arrow_map(rows, run, f"id {kind}, {longs}, base_failed boolean, probability double, kept boolean").withColumnRenamed("id", id_col)
 
 
+def quality_filter(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns. Nulls are judged as in quality_rules."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([_judge(x.as_py() or "", own, threshold)[-1] for x in batch.column(at)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
+
+
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.bpe import bpe_digests
+from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.common import fresh_path, read_table
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.html_text import extract_text
@@ -56,7 +56,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(read_table(spark, sf_dir, "documents"))
+    return bpe_round_trip(read_table(spark, sf_dir, "documents"))
 
 
 #: Fixed entries of the spam list: name of the domain, day it is added, day it is removed.
