@@ -1,0 +1,185 @@
+"""Text functions as column expressions: tokens, stems, joins, identifiers, estimates."""
+
+import re
+import sys
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The scripts written without spaces, as code point ranges.
+CJK = "[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
+# Letters that Unicode does not decompose, and what they fold to.
+HAND = {"ß": "ss", "ø": "o", "æ": "ae", "đ": "d", "ł": "l"}
+# Words of view SQL that name no object or column.
+KEYWORDS = """
+    select from where join left right inner outer on group by order as and or not null case when then else end
+    sum count avg min max distinct union all having with create view is substr cast coalesce asc desc limit cross
+    full exists between like over partition rows range fetch first only top offset in any some
+    nvl nvl2 decode trunc sysdate systimestamp rownum rowid dual to_char to_date to_number add_months
+    months_between listagg instr lpad rpad regexp_like regexp_substr nullif greatest least round floor ceil abs mod
+    power sqrt upper lower initcap length replace concat date_trunc extract now current_date current_timestamp
+    getdate dateadd datediff datepart isnull ifnull convert len charindex julianday strftime lag lead row_number
+    rank dense_rank ntile first_value last_value string_agg group_concat array_agg unnest json_value json_query
+""".split()
+# Parts of column names whose contents count as personal.
+PERSONAL = ("name", "address", "email", "phone", "ssn", "dob", "birth", "passport")
+NO_STRINGS = "array<string>"
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters and digits that fold to one character, those characters, and what the others fold to."""
+    one, to, many = [], [], dict(HAND)
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] not in "LN" or c in HAND:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain == c or re.match(CJK, c):
+            continue
+        if len(plain) == 1 and ord(c) < 0x10000:
+            one.append(c)
+            to.append(plain)
+        elif ord(c) < 0x2000 or 0xFB00 <= ord(c) <= 0xFB06:
+            many[c] = plain
+    return "".join(one), "".join(to), many
+
+
+_ONE, _TO, _MANY = _folds()
+
+
+def fold(token: Column) -> Column:
+    """A token without accents (T2): compatibility forms decomposed and combining marks dropped.
+
+    Of the letters that fold to several, those below U+2000 and the Latin ligatures are covered.
+    """
+    many = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(token, ""), lambda c: F.coalesce(F.element_at(many, c), c)), "")
+    wide = F.when(token.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(token)
+    return F.when(token.rlike(r"^[\x00-\x7f]*$"), token).otherwise(F.regexp_replace(F.translate(wide, _ONE, _TO), r"\p{M}", ""))
+
+
+def is_cjk(token: Column) -> Column:
+    """Whether a token has a character of a script without spaces."""
+    return token.rlike(CJK)
+
+
+def _grams(token: Column, n: int) -> Column:
+    count = F.length(token) - n + 1
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(token, i, F.lit(n)))).otherwise(F.array().cast(NO_STRINGS))
+
+
+def tokenize(text: Column) -> Column:
+    """Tokens of a text in order (T1): camel case split, lower case, accents folded; CJK runs as unigrams, then bigrams."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " "))
+    runs = F.regexp_extract_all(spaced, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    parts = F.transform(runs, lambda r: F.when(is_cjk(r), F.concat(_grams(r, 1), _grams(r, 2))).otherwise(F.array(fold(r))))
+    return F.filter(F.flatten(parts), lambda t: t != "")
+
+
+def stem(t: Column) -> Column:
+    """A token without its plural ending (T4)."""
+    n = F.length(t)
+    return (
+        F.when((n > 4) & t.endswith("ies"), F.concat(F.substring(t, F.lit(1), n - 3), F.lit("y")))
+        .when((n > 4) & t.endswith("es") & ~t.endswith("ses"), F.substring(t, F.lit(1), n - 2))
+        .when((n > 3) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), n - 1))
+        .otherwise(t)
+    )
+
+
+def _alphabetic(t: Column) -> Column:
+    return t.rlike(r"^\p{L}+$")
+
+
+def expand_joins(tokens: Column, vocab: Column | None = None, max_len: int = 14) -> Column:
+    """Tokens, then each two neighbours written together, if both are letters and not longer than max_len (T5)."""
+    pairs = F.transform(
+        F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.element_at(tokens, i).alias("a"), F.element_at(tokens, i + 1).alias("b")),
+    )
+    fits = F.filter(pairs, lambda p: _alphabetic(p["a"]) & _alphabetic(p["b"]) & (F.length(p["a"]) + F.length(p["b"]) <= max_len))
+    joined = F.transform(fits, lambda p: F.concat(p["a"], p["b"]))
+    if vocab is not None:
+        joined = F.filter(joined, lambda t: F.array_contains(vocab, t))
+    return F.concat(tokens, joined)
+
+
+def acronyms(tokens: Column, max_run: int = 5) -> Column:
+    """Initials of all runs of 2 to max_run words of letters, by length and then place, each once (T6, before its vocabulary)."""
+    none = F.array().cast(NO_STRINGS)
+    out = []
+    for run in range(2, max_run + 1):
+        starts = F.when(F.size(tokens) >= run, F.sequence(F.lit(1), F.size(tokens) - run + 1)).otherwise(F.array().cast("array<int>"))
+        slices = F.filter(F.transform(starts, lambda i, run=run: F.slice(tokens, i, run)), lambda s: F.forall(s, _alphabetic))
+        out.append(F.transform(slices, lambda s: F.array_join(F.transform(s, lambda t: F.substring(t, 1, 1)), "")))
+    return F.array_distinct(F.concat(*out, none))
+
+
+def expand_acronyms(tokens: Column, vocab: Column, max_run: int = 5) -> Column:
+    """Acronyms of tokens that the vocabulary has."""
+    return F.filter(acronyms(tokens, max_run), lambda a: F.array_contains(vocab, a))
+
+
+def named_in(question: Column, name: Column) -> Column:
+    """Whether the tokens of a name stand next to one another in those of a question."""
+    starts = F.sequence(F.lit(1), F.size(question) - F.size(name) + 1)
+    return (F.size(name) > 0) & F.when(F.size(question) >= F.size(name), F.exists(starts, lambda i: F.slice(question, i, F.size(name)) == name)).otherwise(False)
+
+
+def identifiers(sql: Column, limit: int = 1200) -> Column:
+    """Identifiers of view SQL, each once, spaced and raw, cut at `limit` characters."""
+    words = F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1)
+    words = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(KEYWORDS))
+    numbered = F.transform(words, lambda w: F.lower(w))
+    first = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_position(numbered, F.lower(s["w"])) == s["i"] + 1)
+    both = F.flatten(F.transform(first, lambda s: F.array(F.regexp_replace(s["w"], "_", " "), s["w"])))
+    return F.substring(F.array_join(both, " "), 1, limit)
+
+
+def spaced(name: Column) -> Column:
+    return F.regexp_replace(F.coalesce(name, F.lit("")), "_", " ")
+
+
+def one_line(text: Column) -> Column:
+    """White space collapsed."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def sentence(description: Column) -> Column:
+    """The sentence of a description, before its aliases."""
+    return F.trim(F.split(F.coalesce(description, F.lit("")), r" \| ", 2)[0])
+
+
+def aliases(description: Column) -> Column:
+    """The aliases of a description as one text; empty if there are none."""
+    parts = F.split(F.coalesce(description, F.lit("")), r" \| ", 2)
+    return F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Tokens a model would read (T12): a run of letters costs a fourth of its length, rounded half to even and 1 at least; any other visible character 1."""
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z]+|[^A-Za-z\\s])"), 1)
+    cost = lambda r: F.when(r.rlike("^[A-Za-z]"), F.greatest(F.lit(1), F.bround(F.length(r) / 4, 0).cast("int"))).otherwise(1)
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda acc, r: acc + cost(r))
+
+
+def looks_personal(name: Column, fragments: tuple[str, ...] = PERSONAL) -> Column:
+    """Whether a column name has one of the fragments."""
+    hit = F.lit(False)
+    for f in fragments:
+        hit = hit | F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(f.casefold()))
+    return hit
+
+
+def looks_truncated(text: Column) -> Column:
+    """Whether a description seems cut off (T16): empty, or no final mark, no aliases and under 12 words."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return (t == "") | (~t.rlike("[.!?]$") & ~F.contains(t, F.lit("|")) & (words < 12))
+
+
+def parse_choice(reply: Column, n: Column, top_k: Column) -> Column:
+    """Numbers 1 to n of a reply in order, each once, the first top_k."""
+    found = F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r"(?<![\w.])(\d{1,9})(?!\w)"), 1)
+    numbers = F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: (x >= 1) & (x <= n))
+    return F.slice(F.array_distinct(numbers), F.lit(1), top_k)
