@@ -42,12 +42,12 @@ class Principal:
             raise PermissionError(f"{self.subject} has none of the roles needed")
 
 
-def column(name: str, type: str = "", nullable: bool = True, comment: str | None = None, pk: bool = False, roles=None, values=None) -> tuple:
-    return (name, type, nullable, comment, pk, roles, values)
+def column(name: str, type: str = "", nullable: bool = True, comment: str | None = None, pk: bool = False, roles=None, values=None) -> dict:
+    return dict(name=name, type=type, nullable=nullable, comment=comment, pk=pk, roles=roles, values=values)
 
 
-def foreign_key(columns: list[str], ref_table: str, ref_columns: list[str] | None = None, inferred: bool = False) -> tuple:
-    return (list(columns), ref_table, list(ref_columns or []), inferred)
+def foreign_key(columns: list[str], ref_table: str, ref_columns: list[str] | None = None, inferred: bool = False) -> dict:
+    return dict(columns=list(columns), ref_table=ref_table, ref_columns=list(ref_columns or []), inferred=inferred)
 
 
 def one_text(value) -> str | None:

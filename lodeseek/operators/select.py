@@ -137,9 +137,8 @@ class Catalog:
         """Also forgets sampled values of the column."""
         row = self.find(name)
         for k, c in enumerate(row["columns"]):
-            c = dict(c) if isinstance(c, dict) else dict(zip(("name", "type", "nullable", "comment", "pk", "roles", "values"), c, strict=True))
             if c["name"].lower() == column.lower():
-                row["columns"][k] = c | {"roles": sorted(roles), "values": None}
+                row["columns"][k] = dict(c) | {"roles": sorted(roles), "values": None}
                 return
         raise KeyError(f"{name}.{column}")
 
