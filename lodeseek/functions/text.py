@@ -106,13 +106,13 @@ def expand_joins(tokens: Column, vocab: Column | None = None, max_len: int = 14)
 
 def acronyms(tokens: Column, max_run: int = 5) -> Column:
     """Initials of all runs of 2 to max_run words of letters, by length and then place, each once (T6, before its vocabulary)."""
-    none = F.array().cast(NO_STRINGS)
-    out = []
-    for run in range(2, max_run + 1):
+
+    def of_length(run: int) -> Column:
         starts = F.when(F.size(tokens) >= run, F.sequence(F.lit(1), F.size(tokens) - run + 1)).otherwise(F.array().cast("array<int>"))
-        slices = F.filter(F.transform(starts, lambda i, run=run: F.slice(tokens, i, run)), lambda s: F.forall(s, _alphabetic))
-        out.append(F.transform(slices, lambda s: F.array_join(F.transform(s, lambda t: F.substring(t, 1, 1)), "")))
-    return F.array_distinct(F.concat(*out, none))
+        slices = F.filter(F.transform(starts, lambda i: F.slice(tokens, i, run)), lambda s: F.forall(s, _alphabetic))
+        return F.transform(slices, lambda s: F.array_join(F.transform(s, lambda t: F.substring(t, 1, 1)), ""))
+
+    return F.array_distinct(F.concat(*[of_length(n) for n in range(2, max_run + 1)], F.array().cast(NO_STRINGS)))
 
 
 def expand_acronyms(tokens: Column, vocab: Column, max_run: int = 5) -> Column:

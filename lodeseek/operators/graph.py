@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.model import qname
+from lodeseek.session import materialise
 
 # Endings and beginnings of copies, beginnings of layers, in the order they are tried.
 SHADOW_SUFFIXES = tuple("_" + s for s in "bkp backup bak old tmp temp new copy archive arch hist stg staging v1 v2 v3 prev orig".split())
@@ -154,14 +155,13 @@ def expand_roles(direct: DataFrame, graph: DataFrame) -> DataFrame:
     """object and role of all roles that inherit a grant (G7). direct: object, role; graph: role, inheritor.
 
     One level is joined a round until a round finds nothing new; cycles end as known pairs are dropped.
-    Only the emptiness of a round comes to the driver.
+    Rounds are written as tables, so that plans don't grow; only the emptiness of one comes to the driver.
     """
-    links = graph.select(F.col("role").alias("from"), F.col("inheritor").alias("to")).distinct().cache()
-    known = direct.select("object", "role").distinct().cache()
-    front = known
+    links = graph.select(F.col("role").alias("from"), F.col("inheritor").alias("to")).distinct()
+    known = front = materialise(direct.select("object", "role").distinct(), "roles")
     while True:
         step = front.join(links, F.col("role") == F.col("from")).select("object", F.col("to").alias("role")).distinct()
-        front = step.join(known, ["object", "role"], "left_anti").cache()
+        front = materialise(step.join(known, ["object", "role"], "left_anti"), "roles-new")
         if front.isEmpty():
             return known
-        known = known.unionByName(front).cache()
+        known = materialise(known.unionByName(front), "roles")
