@@ -1,44 +1,17 @@
 """Helpers that the operators of this package share."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.session import ship_package
+from lodeseek.session import fresh_path, materialise, ship_package
+
+__all__ = ["SPACES", "WORD", "arrow_map", "fresh_path", "materialise", "read_table", "word_count"]
 
 #: A word: a run of characters other than ASCII white space (fixed by the data contract).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodeseek-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    Cuts lineage so that a lost executor costs only the running stage, and gives joins on the
-    table plain exchanges, which adaptive execution can split where a key is hot.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null. Each word becomes one mark, white space goes, marks are counted."""
     marks = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
