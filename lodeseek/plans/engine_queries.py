@@ -307,9 +307,9 @@ def _catalog(spark) -> DataFrame:
     return Catalog(spark).add_all(CATALOG).objects()
 
 
-@query("fk_infer", """SELECT * FROM (VALUES ('sales_order', 'warehouse_key', 'warehouses'), ('payment', 'fk_invoice', 'invoice'), ('refund', 'invoice_fk', 'invoice')) t(name, key_column, target)""")
+@query("fk_infer", """SELECT * FROM (VALUES ('sales_order', 'warehouse_key', 'warehouses'), ('sales_order_line', 'order_id', 'sales_order'), ('payment', 'fk_invoice', 'invoice'), ('refund', 'invoice_fk', 'invoice')) t(name, key_column, target)""")
 def fk_infer(spark, sf_dir):
-    """A customer key has two plausible targets (crm_customer and its staging copy), an order key three, and an entry a key of two columns: none of these is inferred."""
+    """A customer key has two plausible targets (crm_customer and its staging copy), none in the other schema, and an entry has a key of two columns: none of these is inferred. Only sales_order ends in order."""
     rows = _catalog(spark)
     return graph.infer_foreign_keys(rows).join(rows.select("ordinal", "name"), "ordinal").select("name", F.col("column").alias("key_column"), F.col("ref_table").alias("target"))
 
