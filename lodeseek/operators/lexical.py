@@ -6,65 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
+from lodeseek.session import materialise
 
 K1 = 1.4
 B = 0.72
 
 
+#: Binary places of a score's fixed-point sum.
+PLACES = 40
+
+
 @dataclass
 class Index:
-    """postings (field, term, ordinal, tf), docs (field, ordinal, len), terms (field, term, df, idf), totals (field, n, avg)."""
+    """postings (field, term, ordinal, tf, len), terms (field, term, df, idf), totals (field, n, avg)."""
 
     postings: DataFrame
-    docs: DataFrame
     terms: DataFrame
     totals: DataFrame
 
     def cache(self) -> "Index":
-        for df in (self.postings, self.docs, self.terms, self.totals):
+        for df in (self.postings, self.terms, self.totals):
             df.cache()
         return self
 
 
-def build_index(docs: DataFrame, fields: dict[str, Column], ordinal: str = "ordinal") -> Index:
-    """Indexes the fields of docs. Terms are exploded and counted with partial sums; only `terms` and `postings` shuffle."""
+def build_index(docs: DataFrame, fields: dict[str, Column], ordinal: str = "ordinal", keep: bool = True) -> Index:
+    """Indexes the fields of docs.
+
+    Texts are tokenized once for the postings, which are written to the shared folder if keep, and once for
+    the lengths. Postings carry the length of their document, so that scoring needs no further join.
+    """
     rows = docs.select(
         F.col(ordinal).alias("ordinal"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokenize(t).alias("tokens")) for f, t in fields.items()])).alias("x")
     ).select("ordinal", "x.field", "x.tokens")
-    lengths = rows.select("field", "ordinal", F.size("tokens").cast("long").alias("len"))
-    postings = rows.select("field", "ordinal", F.explode("tokens").alias("t")).select("field", "ordinal", X.stem(F.col("t")).alias("term"))
-    postings = postings.groupBy("field", "term", "ordinal").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    words = rows.select("field", "ordinal", F.size("tokens").cast("long").alias("len"), F.explode("tokens").alias("t"))
+    postings = words.groupBy("field", X.stem(F.col("t")).alias("term"), "ordinal", "len").agg(F.count(F.lit(1)).alias("tf"))
+    if keep:
+        postings = materialise(postings, "postings")
+    totals = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg"))
+    if keep:
+        totals = materialise(totals, "totals")
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     # A row for each field: bounded by the number of fields, which the caller writes down.
     terms = terms.join(F.broadcast(totals), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Index(postings, lengths, terms.select("field", "term", "df", idf.alias("idf")), totals)
+    return Index(postings, terms.select("field", "term", "df", idf.alias("idf")), totals)
 
 
 def query_terms(questions: DataFrame, index: Index, qid: str = "qid", question: str = "question") -> DataFrame:
-    """qid, field, pos, term, idf: stems of tokens and joins in order, repeats kept, then acronyms the field knows and the question lacks."""
+    """qid, field, term, idf, times: stems of tokens and joins, repeats counted, and acronyms the field knows and the question lacks."""
     base = questions.select(F.col(qid).alias("qid"), X.tokenize(F.col(question)).alias("tokens"))
     stems = F.transform(X.expand_joins(F.col("tokens")), X.stem)
-    base = base.select("qid", stems.alias("stems"), F.array_except(X.acronyms(F.col("tokens")), stems).alias("acronyms"))
-    words = base.select("qid", F.posexplode("stems").alias("pos", "term"))
-    short = base.select("qid", F.size("stems").alias("n"), F.posexplode("acronyms").alias("p", "term")).select("qid", (F.col("n") + F.col("p")).alias("pos"), "term")
-    return words.unionByName(short).join(index.terms.select("field", "term", "idf"), "term")
+    base = base.select("qid", F.concat(stems, F.array_except(X.acronyms(F.col("tokens")), stems)).alias("words"))
+    words = base.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    return words.join(index.terms.select("field", "term", "idf"), "term")
 
 
 def bm25_scores(questions: DataFrame, index: Index, qid: str = "qid", question: str = "question") -> DataFrame:
     """qid, field, ordinal, score for each object that has a term of a question.
 
-    Terms are joined with postings and added up in the order of the question, so that scores do not depend
-    on how rows were dealt.
+    Contributions are summed as integers of PLACES binary places: the sum is the same in any order, and is
+    made partly before the shuffle.
     """
     terms = query_terms(questions, index, qid, question)
-    hits = terms.join(index.postings, ["field", "term"]).join(index.docs, ["field", "ordinal"]).join(F.broadcast(index.totals), "field")
+    hits = terms.join(index.postings, ["field", "term"]).join(F.broadcast(index.totals), "field")
     avg = F.when(F.col("avg") == 0, 1.0).otherwise(F.col("avg"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    hits = hits.select("qid", "field", "ordinal", F.struct("pos", part.alias("part")).alias("p"))
-    folded = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(0.0), lambda acc, x: acc + x["part"])
-    return hits.groupBy("qid", "field", "ordinal").agg(folded.alias("score"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
+    fixed = F.round(part * float(1 << PLACES), 0).cast("long")
+    return hits.groupBy("qid", "field", "ordinal").agg((F.sum(fixed) / F.lit(float(1 << PLACES))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:

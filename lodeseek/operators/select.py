@@ -188,7 +188,7 @@ class Catalog:
         # Kept while the edits that follow don't make it stale.
         rows = M.with_fields(self.objects()).cache()
         vectors = self.embedder.embed_column(rows.select("ordinal", "body_text"), F.col("body_text")).select("ordinal", "vec").cache()
-        built = lexical.build_index(rows, {f: F.col(f"{f}_text") for f in M.FIELDS}).cache()
+        built = lexical.build_index(rows, {f: F.col(f"{f}_text") for f in M.FIELDS}, keep=False).cache()
         self._index = (rows, vectors, built, graph.shadows(rows).cache(), graph.dimensions(rows).cache())
         self._stale = False
 

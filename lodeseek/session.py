@@ -1,7 +1,9 @@
 """Spark session for local runs, tests and the bench."""
 
+import atexit
 import os
 import pathlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodeseek-")
+        folder = tempfile.mkdtemp(prefix="lodeseek-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -58,7 +62,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_lodeseek_shipped", False):
         return
     root = pathlib.Path(__file__).resolve().parent
-    target = pathlib.Path(tempfile.mkdtemp(prefix="lodeseek-")) / "lodeseek-package.zip"
+    folder = tempfile.mkdtemp(prefix="lodeseek-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = pathlib.Path(folder) / "lodeseek-package.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
