@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.vectors import DISTANCES
+from lodeseek.session import materialise
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 2_000
 ROWS = "ns string, key string, vec array<double>, payload map<string,string>, scope string"
 
 
@@ -28,19 +31,27 @@ def nearest(rows: DataFrame, vec: list[float], k: int = 6, max_distance: float =
     return near.orderBy("distance", tie).limit(k).where(F.col("distance") <= max_distance)
 
 
-def nearest_many(queries: DataFrame, rows: DataFrame, k: int = 6, max_distance: float = 1.0, metric: str = "COSINE", most_queries: int = 10_000) -> DataFrame:
-    """qid, key, distance, rank of the k nearest rows of each query (qid, qvec, qscope) by a stated set of queries.
+def nearest_many(
+    queries: DataFrame, rows: DataFrame, k: int = 6, max_distance: float = 1.0, metric: str = "COSINE", places: int | None = None, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """qid, key, distance, rank of the k nearest rows in scope of each query (qid, qvec, qscope); ties by key.
 
-    The queries are broadcast, after their number is checked, and meet each row once; each task keeps k rows
-    of a query before rows are shuffled by query.
+    The queries are counted and dealt to blocks of about `block`. A block is broadcast and meets each row
+    once; tasks keep k rows of a query before rows are shuffled by query. With more than one block, each
+    one's result is written before the next pass over the rows. With places, distances are rounded first.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in blocks")
-    scored = rows.join(F.broadcast(queries.select("qid", "qvec", "qscope")), F.col("scope").isNull() | (F.col("scope") == F.col("qscope")))
-    scored = scored.select("qid", "key", DISTANCES[metric](F.col("vec"), F.col("qvec")).alias("distance")).where(F.col("distance") <= max_distance)
-    order = Window.partitionBy("qid").orderBy("distance", "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        scored = rows.join(F.broadcast(own.select("qid", "qvec", "qscope")), F.col("scope").isNull() | (F.col("scope") == F.col("qscope")))
+        distance = DISTANCES[metric](F.col("vec"), F.col("qvec"))
+        scored = scored.select("qid", "key", (distance if places is None else F.round(distance, places)).alias("distance"))
+        order = Window.partitionBy("qid").orderBy("distance", "key")
+        near = scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("distance") <= max_distance))
+        near = near if blocks == 1 else materialise(near, "nearest")
+        out = near if out is None else out.unionByName(near)
+    return out
 
 
 class ParquetStore:

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
@@ -176,10 +176,7 @@ def _knn(metric: str, scoped: bool):
         asked = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(
             F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("qvec"), F.col("label").cast("string").alias("qscope")
         )
-        scored = rows.join(F.broadcast(asked), F.col("scope").isNull() | (F.col("scope") == F.col("qscope")))
-        scored = scored.select("qid", "key", F.round(DISTANCES[metric](F.col("vec"), F.col("qvec")), 6).alias("distance"))
-        order = Window.partitionBy("qid").orderBy("distance", "key")
-        return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 6").select("qid", "key", "distance", "rank")
+        return store.nearest_many(asked, rows, 6, float("inf"), metric, places=6)
 
     return run
 
@@ -203,7 +200,7 @@ def hash_embed_knn(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name")
     rows = HashingEmbedder(128).embed_column(parts, F.col("p_name")).withColumn("scope", F.lit(None).cast("string"))
     asked = rows.where("key % 100 = 0").select(F.col("key").alias("qid"), F.col("vec").alias("qvec"), F.lit(None).cast("string").alias("qscope"))
-    return store.nearest_many(asked, rows, 6, 2.0).select("qid", "key", F.round("distance", 6).alias("distance"), "rank")
+    return store.nearest_many(asked, rows, 6, 2.0, places=6)
 
 
 # Access

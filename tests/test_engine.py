@@ -199,3 +199,12 @@ def test_service(spark, shop):
     got = urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/health").read()
     assert json.loads(got)["objects"] == len(shop) and threading.active_count() > 1
     server.shutdown()
+
+
+def test_searches_in_blocks_agree(spark):
+    from lodeseek.operators.store import nearest_many
+
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0], None if k % 3 else "s") for k in range(60)], "key long, vec array<double>, scope string")
+    asked = rows.where("key % 4 = 0").select(F.col("key").alias("qid"), F.col("vec").alias("qvec"), F.lit("s").alias("qscope"))
+    one, many = (sorted(map(tuple, nearest_many(asked, rows, 4, 9.0, "EUCLIDEAN", block=b).collect())) for b in (100, 4))
+    assert one == many and len(one) == 4 * 15
