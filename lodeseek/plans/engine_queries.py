@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
-from lodeseek.functions.vectors import DISTANCES, HashingEmbedder
+from lodeseek.functions.vectors import HashingEmbedder
 from lodeseek.model import OBJECTS, column, foreign_key, obj
 from lodeseek.operators import access, evaluation, fusion, graph, lexical, sampling, store
 from lodeseek.operators.select import Catalog, expand_glossary
