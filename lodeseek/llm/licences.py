@@ -129,8 +129,12 @@ def sentences(text: Column) -> Column:
     plain = lambda s: F.trim(
         F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"\.( |$)", "$1")
     )
-    stated = lambda s: F.regexp_replace(F.regexp_replace(s, _SUBJECT, ""), _VERB, "under ")
-    return F.transform(F.split(cut, "\u0001", -1), lambda s: stated(plain(s)))
+    return F.transform(F.split(cut, "\u0001", -1), plain)
+
+
+def _stated(s: Column) -> Column:
+    """A normalised sentence without its subject, and with "under" for its verb."""
+    return F.regexp_replace(F.regexp_replace(s, _SUBJECT, ""), _VERB, "under ")
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +145,9 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
     text = F.col("text")
-    found = F.filter(F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    # The sentence as it stands comes first: some of the known ones have a subject or a verb of their own.
+    name = lambda s: F.coalesce(F.element_at(known, s), F.element_at(known, _stated(s)))
+    found = F.filter(F.transform(sentences(text), name), lambda i: i.isNotNull())
     ids = F.when(text.rlike(TRIGGER), found).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit("|" + "||".join(seq) + "|").alias("seq"), F.lit(licence).alias("licence")) for seq, licence in RULES])

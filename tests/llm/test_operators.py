@@ -181,6 +181,17 @@ def test_licences(spark):
     assert got[2][0] == ["apache-2.0", "apache-file"] and got[5][0] == ["mit-grant", "mit-notice"] and got[6][0] == []
 
 
+def test_licences_reach_every_sentence_and_rule(spark):
+    """Each known sentence and statement alone, with and without a subject, and the sentences of each rule in turn."""
+    known = {s: i for s, i in SENTENCES.items()} | {f"released under the {s}": i for s, i in NAMES.items()} | {f"this work is licensed under {s}": i for s, i in NAMES.items()}
+    text = {i: s for s, i in known.items()}
+    rows = [(k, s.capitalize() + ".", "a") for k, s in enumerate(known)]
+    rows += [(1000 + k, ". ".join(text[i].capitalize() for i in seq) + ".\n", "a") for k, (seq, _) in enumerate(RULES)]
+    got = {r.doc_id: r for r in licence_scan(table(spark, rows)).collect()}
+    assert {s: got[k].sentence_ids for k, s in enumerate(known)} == {s: [i] for s, i in known.items()}
+    assert [(got[1000 + k].sentence_ids, got[1000 + k].licences) for k in range(len(RULES))] == [(seq, [licence]) for seq, licence in RULES]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) { x("</p>") }</script></head><body class="no-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p>First <b>bold</b><br>para&nbsp;graph.</p>
 <!-- note --><div class="ad-slot">Buy</div><p>Second &lt;one&gt; &eacute;.<ul><li>item one<li>item two</ul><form><input><button>Go</button></form><section id="comments"><p>Nice</p></section></article></main><aside>Side</aside><footer>&copy; x</footer></body></html>"""
