@@ -15,6 +15,7 @@ from lodeseek.operators.describe import DescriptionCache, Describer, clean_descr
 from lodeseek.operators.render import estimate, format_rows, render_ddl
 from lodeseek.operators.select import Catalog, choose, rerank_prompt
 from lodeseek.operators.store import local_store
+from lodeseek.plans import relational
 from lodeseek.service import Tools, retriever, serve
 from lodeseek.sources import config, connect, demo, ords, reflect
 from lodeseek.streaming.changes import upsert_stream
@@ -208,3 +209,10 @@ def test_searches_in_blocks_agree(spark):
     asked = rows.where("key % 4 = 0").select(F.col("key").alias("qid"), F.col("vec").alias("qvec"), F.lit("s").alias("qscope"))
     one, many = (sorted(map(tuple, nearest_many(asked, rows, 4, 9.0, "EUCLIDEAN", block=b).collect())) for b in (100, 4))
     assert one == many and len(one) == 4 * 15
+
+
+def test_rel_json_parses_every_event(spark, tmp_path):
+    rows = [(k, json.dumps({"k": k, "x": [1]})) for k in (0, 499, 500, 501, 9999, 10**9)] + [(700, None), (701, '{"x": 1}'), (702, "no json"), (703, '{"k": "a b"}')]
+    spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.k, r.no_props) for r in relational.QUERIES["rel_json"](spark, str(tmp_path)).collect()}
+    assert got == {k: (str(k), False) for k in (0, 499, 500, 501, 9999, 10**9)} | {700: (None, True), 701: (None, False), 702: (None, False), 703: ("a b", False)}
