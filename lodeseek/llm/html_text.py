@@ -5,7 +5,7 @@ none if it is furniture (whose text goes at once): inside a menu, header, footer
 element, role, class or id; outside the article where the page marks one; or made of links mostly. The
 lengths are summed over windows of WINDOW lines that slide down the page. A surge is where the sum
 leaves zero, a dive where it falls back to zero, and the text between a surge and its dive is a stretch.
-Pages that mark their article keep each stretch, others the one with the most text.
+Every stretch is kept: those of a page without a marked article may be cut apart by furniture in its midst.
 """
 
 import html
@@ -174,8 +174,6 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
         elif not s and surge is not None:
             stretches.append((surge, i))
             surge = None
-    if not marked and stretches:
-        stretches = [max(stretches, key=lambda ab: (sum(counted[ab[0] : ab[1]]), -ab[0]))]
     blocks = []
     for a, b in stretches:
         # A window reaches ahead of the surge: the text begins at the first line that counts.

@@ -210,6 +210,14 @@ def test_html(spark):
     assert got == Counter({(1, "u", want, len(want)): 2, (None, None, "", 0): 1, (2, "v", "", 0): 1})
 
 
+def test_html_unmarked_page_keeps_text_around_furniture():
+    """Furniture of many blocks in the midst of a page without <article> or <main> parts its text; no part is lost."""
+    advert = '<div class="related"><h3>More</h3><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div>'
+    form = "<form class=newsletter><div><p>Join</p><p>Now</p><p>Here</p></div></form>"
+    page = f"<html><body><div><h1>Head</h1><p>First part.</p>{advert}<p>Second and longer part.</p><p>More of it.</p>{form}<p>Last.</p></div><footer><p>x</p></footer></body></html>"
+    assert main_text(page) == "Head\n\nFirst part.\n\nSecond and longer part.\n\nMore of it.\n\nLast."
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame(
         [("l", "d:bad.com", "block", 10, "add"), ("l", "d:bad.com", "block", 20, "remove"), ("l", "d:bad.com", "block", 30, "add"), ("l", "p:bad.com/ok", "allow", 5, "add"), ("m", "d:sub.bad.com", "allow", 12, "add"),
