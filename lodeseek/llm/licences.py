@@ -1,6 +1,6 @@
 """Licence scans by sentence rules.
 
-Sentences are normalised and looked up among known licence sentences, and the sequence of identifiers of
+Texts are normalised and searched for known licence sentences, and the sequence of identifiers of
 a document, sentences that are not known left out, is matched against rules in order. A rule that matches
 takes its identifiers out of the sequence, so that a later and shorter rule can't use them again.
 """
@@ -122,19 +122,35 @@ def _known() -> dict[str, str]:
     return {f"under {name}": i for name, i in NAMES.items()} | SENTENCES
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text, normalised: they end at a full stop or its like before white space, or at a line end before a capital, a digit or a blank line."""
-    cut = F.regexp_replace(text, r"([.!?;:])[ \t\r\n]+", "$1\u0001")
-    cut = F.regexp_replace(cut, r"\n([ \t\r]*[A-Z0-9\n])", "\u0001$1")
-    plain = lambda s: F.trim(
-        F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"\.( |$)", "$1")
-    )
-    return F.transform(F.split(cut, "\u0001", -1), plain)
+#: Marks in a normalised text: an end that a known sentence may run across, one that it may not; and a defined term after a statement.
+_SOFT, _HARD, _TERM = "\u0001", "\u0002", " the licen[sc]e"
+
+
+def normalised(text: Column) -> Column:
+    """A text's words, lowered, with marks at both ends and where a sentence may end.
+
+    A full stop or its like before white space and a blank line end a sentence. A semicolon or colon before white
+    space and a line end before a capital or a digit may do so, or stand inside one that is wrapped or has clauses.
+    """
+    s = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", f"$1{_HARD}")
+    s = F.regexp_replace(s, r"\n(?=[ \t\r]*\n)", _HARD)
+    s = F.regexp_replace(s, r"[;:][ \t\r\n]+|\n(?=[ \t\r]*[A-Z0-9])", _SOFT)
+    s = F.regexp_replace(F.lower(s), f"[^a-z0-9.+{_SOFT}{_HARD}]+", " ")
+    s = F.regexp_replace(F.concat(F.lit(_HARD), s, F.lit(_HARD)), rf"\.(?=[ {_SOFT}{_HARD}])", "")
+    s = F.regexp_replace(s, f"[ {_SOFT}]*{_HARD}[ {_SOFT}]*", _HARD)
+    return F.regexp_replace(s, f" *{_SOFT}[ {_SOFT}]*", _SOFT)
+
+
+def _pattern() -> str:
+    """Any known sentence or statement between two marks, the longest first."""
+    either = lambda texts: "|".join(sorted(texts, key=len, reverse=True)).replace(".", r"\.")
+    said = f"({_SUBJECT[1:]})?(({either(SENTENCES)})|({_VERB[1:]}|under )({either(NAMES)})({_TERM})?)"
+    return f"(?<=[{_SOFT}{_HARD}])" + said.replace("(", "(?:").replace(" ", f"[ {_SOFT}]") + f"(?=[{_SOFT}{_HARD}])"
 
 
 def _stated(s: Column) -> Column:
-    """A normalised sentence without its subject, and with "under" for its verb."""
-    return F.regexp_replace(F.regexp_replace(s, _SUBJECT, ""), _VERB, "under ")
+    """A normalised sentence without its subject and a defined term at its end, and with "under" for its verb."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _SUBJECT, ""), _VERB, "under "), f"{_TERM}$", "")
 
 
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +163,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("text")
     # The sentence as it stands comes first: some of the known ones have a subject or a verb of their own.
     name = lambda s: F.coalesce(F.element_at(known, s), F.element_at(known, _stated(s)))
-    found = F.filter(F.transform(sentences(text), name), lambda i: i.isNotNull())
+    said = F.regexp_extract_all(normalised(text), F.lit(_pattern()), F.lit(0))
+    found = F.filter(F.transform(said, lambda s: name(F.translate(s, _SOFT, " "))), lambda i: i.isNotNull())
     ids = F.when(text.rlike(TRIGGER), found).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).select(F.col(id_col), F.coalesce(ids, F.array().cast("array<string>")).alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit("|" + "||".join(seq) + "|").alias("seq"), F.lit(licence).alias("licence")) for seq, licence in RULES])

@@ -192,6 +192,88 @@ def test_licences_reach_every_sentence_and_rule(spark):
     assert [(got[1000 + k].sentence_ids, got[1000 + k].licences) for k in range(len(RULES))] == [(seq, [licence]) for seq, licence in RULES]
 
 
+APACHE = """Copyright 2020 A. Uthor
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, see <https://www.gnu.org/licenses/>.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Uthor
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licences_standard_headers(spark):
+    """Headers as they are printed: wrapped lines, clauses, capitals and defined terms."""
+    gpl = ["gpl-2+-grant", "gpl-warranty", "gpl-see", "gpl-copy"]
+    want = {
+        APACHE: (["apache-2.0", "apache-file", "apache-copy", "apache-basis", "apache-see"], ["Apache-2.0"]),
+        GPL: (gpl, ["GPL-2.0-or-later"]),
+        GPL.replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3").replace("\n", "\r\n"): (["gpl-3+-grant", *gpl[1:]], ["GPL-3.0-or-later"]),
+        MIT: (["mit-grant", "mit-notice", "mit-warranty"], ["MIT"]),
+        MIT.replace(" ", "\n"): (["mit-grant", "mit-notice", "mit-warranty"], ["MIT"]),
+        BSD: (["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-3-Clause"]),
+        "Released under the GNU General Public License,\nVersion 3\nThanks to all": (["gpl-3"], ["GPL-3.0-only"]),
+        "A page of mine\nReleased under the MIT License\nThanks to all": (["mit"], ["MIT"]),
+        "Released under the GNU General Public License.\n\nVersion 2 of this page.": (["gpl"], ["GPL"]),
+        "Released under the MIT License by some and not by others.": ([], []),
+    }
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licence_scan(table(spark, [(k, t, "a") for k, t in enumerate(want)])).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) { x("</p>") }</script></head><body class="no-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p>First <b>bold</b><br>para&nbsp;graph.</p>
 <!-- note --><div class="ad-slot">Buy</div><p>Second &lt;one&gt; &eacute;.<ul><li>item one<li>item two</ul><form><input><button>Go</button></form><section id="comments"><p>Nice</p></section></article></main><aside>Side</aside><footer>&copy; x</footer></body></html>"""
