@@ -2,7 +2,7 @@
 
 Markup is stripped so that each block of a page is a line. A line counts the characters of its text, or
 none if it is furniture (whose text goes at once): inside a menu, header, footer, sidebar, notice, advert, form or comments, by
-element, role, class or id; outside the article where the page marks one; or made of links mostly. The
+element, role, class or id (unless an element so marked by class or id lies around the article or its heading); outside the article where the page marks one; or made of links mostly. The
 lengths are summed over windows of WINDOW lines that slide down the page. A surge is where the sum
 leaves zero, a dive where it falls back to zero, and the text between a surge and its dive is a stretch.
 Every stretch is kept: those of a page without a marked article may be cut apart by furniture in its midst.
@@ -48,26 +48,83 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S,
 )
+_P = re.compile(r"<p(?=[\s>])", re.I)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _is_furniture(name: str, attrs: str, inside: bool) -> bool:
+def _is_furniture(name: str, attrs: str, inside: bool) -> str:
+    """What tells that an element is furniture: "part" for its name, role or state, "mark" for its class or id; empty if nothing does."""
     if name in DROPPED or (name == "header" and not inside):
-        return True
+        return "part"
     if not attrs.strip() or name in NEVER:
-        return False
+        return ""
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)}
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return "part"
     if "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
+        return "part"
+    words = _words(found)
     if name in ("article", "main"):
-        return bool(words & STRONG)
-    if words & MARKS:
-        return True
-    return bool(words & PAGE_HEADS) and not words & OWN and not inside
+        return "part" if words & STRONG else ""
+    if words & MARKS or (words & PAGE_HEADS and not words & OWN and not inside):
+        return "mark"
+    return ""
+
+
+def _words(found: dict[str, str]) -> set[str]:
+    return {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
+
+
+class _Outline:
+    """Where elements end, and where articles, main parts and h1 begin; positions are those after the start tag."""
+
+    def __init__(self, page: str):
+        self.page, self.ends, self.pieces, self.h1 = page, {}, [], []
+        mains, opened, at = [], {}, 0
+        while m := _TOKEN.search(page, at):
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if not name or name in VOID:
+                continue
+            if m["close"]:
+                if opened.get(name):
+                    self.ends[opened[name].pop()] = m.start()
+                continue
+            if name in RAW:
+                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            opened.setdefault(name, []).append(at)
+            if name == "h1":
+                self.h1.append(at)
+            elif name in ("article", "main") and not _is_furniture(name, m["attrs"] or "", True):
+                self.pieces.append(at)
+                if name == "main":
+                    mains.append(at)
+        # The page's own article: its main part, or else the one that runs longest before another begins.
+        sizes = [min(self.end(p), after) - p for p, after in zip(self.pieces, [*self.pieces[1:], len(page)])]
+        self.own = mains[0] if mains else self.pieces[sizes.index(max(sizes))] if sizes else -1
+
+    def end(self, at: int) -> int:
+        return self.ends.get(at, len(self.page))
+
+    def is_layout(self, attrs: str, at: int) -> bool:
+        """Whether an element that a mark calls furniture holds the text of the page all the same.
+
+        It does if it holds the page's own article, or any article and has an OWN word, or an h1 and paragraphs (on a
+        page without paragraphs, an h1). One with a STRONG mark has to hold the own article or all h1 of the page.
+        """
+        end = self.end(at)
+        if at <= self.own < end:
+            return True
+        words = _words({k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)})
+        if words & OWN and not words & STRONG and any(at <= p < end for p in self.pieces):
+            return True
+        held = sum(at <= p < end for p in self.h1)
+        if not held or (words & STRONG and held < len(self.h1)):
+            return False
+        return _P.search(self.page, at, end) is not None or _P.search(self.page) is None
 
 
 def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
@@ -78,6 +135,7 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     skip, skip_depth, until = "", 0, -1
     whole = re.search(r"</(?:body|html)\s*>", page, re.I) is not None
     at = 0
+    outline: _Outline | None = None
 
     def end_line() -> None:
         nonlocal linked
@@ -131,7 +189,12 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             elif name in ("td", "th"):
                 parts.append(" ")
             continue
-        if _is_furniture(name, m["attrs"] or "", depth > 0) and name not in VOID:
+        furniture = name not in VOID and _is_furniture(name, m["attrs"] or "", depth > 0)
+        if furniture == "mark":
+            outline = outline or _Outline(page)
+            if outline.is_layout(m["attrs"], at):
+                furniture = ""
+        if furniture:
             if name in BLOCKS or name in DROPPED - RAW:
                 end_line()
             if name in RAW:

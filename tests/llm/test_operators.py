@@ -300,6 +300,22 @@ def test_html_unmarked_page_keeps_text_around_furniture():
     assert main_text(page) == "Head\n\nFirst part.\n\nSecond and longer part.\n\nMore of it.\n\nLast."
 
 
+def test_html_marked_layouts_keep_the_article():
+    """A layout wrapper whose class or id has a mark's word is no furniture; parts that are stay out."""
+    nav, side = "<nav><a href=x>Menu</a></nav>", '<div class="sidebar"><article class="card"><h2>Card</h2><p>Teased.</p></article></div>'
+    related = '<div class="related"><article class="card"><p>Other.</p></article></div><div class="comments"><p>Nice</p></div>'
+    text = "<h1>Head</h1><p>First part of the text.</p><p>Second part of the text.</p>"
+    want = "Head\n\nFirst part of the text.\n\nSecond part of the text."
+    for attrs in ('class="layout has-sidebar"', 'id="content" class="with-sidebar"', 'class="post-content social"', 'class="no-ads"', "id=with-comments"):
+        for inner in (f"<article>{text}</article>", f"<main>{text}</main>", text):
+            cards = side + related if inner != text else '<div class="sidebar"><p>Side</p></div>'
+            assert main_text(f"<html><body>{nav}<div {attrs}>{inner}{cards}</div><footer>x</footer></body></html>") == want, (attrs, inner)
+            assert main_text(f"<html><body>{nav}<div {attrs}><div class='social'>{inner}</div></div>{cards}</body></html>") == want, (attrs, inner)
+            assert main_text(f"<html><body>{nav}<div {attrs}>{inner}<div>{nav}</body></html>") == want, (attrs, inner)
+    assert main_text(f"<body><article><div class='entry social'>{text}</div></article></body>") == want
+    assert main_text(f"<body><div class='masthead'><h1>Site</h1></div><div class='has-sidebar'>{text}</div></body>") == want
+
+
 def test_url_filter(spark):
     entries = spark.createDataFrame(
         [("l", "d:bad.com", "block", 10, "add"), ("l", "d:bad.com", "block", 20, "remove"), ("l", "d:bad.com", "block", 30, "add"), ("l", "p:bad.com/ok", "allow", 5, "add"), ("m", "d:sub.bad.com", "allow", 12, "add"),
