@@ -75,6 +75,11 @@ def _class(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _name(cls: bytes) -> int:
+    """A class's name in packed shingles: 64 bits of it, folded evenly over the numbers that are no counts."""
+    return _COUNTS + int.from_bytes(cls[:8], "little") % ((1 << 32) - _COUNTS)
+
+
 class _Chunk:
     """The sets of a chunk's documents and their distinct shingles, the same for the same rows in any order."""
 
@@ -83,7 +88,7 @@ class _Chunk:
         self.classes = [_class(s) if len(s) else None for s in self.sets]
         sizes = [len(s) for s in self.sets]
         flat = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-        names = np.array([max(_COUNTS, int.from_bytes(c[:4], "little")) if c else 0 for c in self.classes], np.uint32)
+        names = np.array([_name(c) if c else 0 for c in self.classes], np.uint32)
         order = np.argsort(flat, kind="stable")
         ordered, names = flat[order], np.repeat(names, sizes)[order]
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek.llm import jaccard
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.html_text import extract_text, main_text
 from lodeseek.llm.jaccard import least_overlap, need, ngram_jaccard_join, shingles
@@ -165,6 +166,13 @@ def test_jaccard_bounds():
     assert len(shingles("a b c d e f a b c d e f")) == 6 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
 
 
+def test_jaccard_class_names_are_spread():
+    """Classes with small first bytes have names of their own, and no name is a count."""
+    names = [jaccard._name(k.to_bytes(4, "little") + bytes(12)) for k in range(0, 1 << 16, 97)]
+    assert len(set(names)) == len(names) and min(names) >= jaccard._COUNTS
+    assert jaccard._COUNTS <= jaccard._name(b"\xff" * 16) < 1 << 32
+
+
 def test_licences(spark):
     assert all(re.search(TRIGGER, s) for s in SENTENCES) and set(NAMES.values()) <= set(STATED)
     assert all(i in set(NAMES.values()) | set(SENTENCES.values()) for seq, _ in RULES for i in seq)
