@@ -29,9 +29,11 @@ def get_spark(app: str = "lodeseek", cpus: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodeseek-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         path = "file://" + folder
@@ -56,6 +58,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes on its way, so that it can remove those that its result does not read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, table))
+        return table
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Remove all tables but those kept."""
+        for path, table in self.tables:
+            if not any(table is k for k in kept):
+                remove(self.spark, path)
+        self.tables = [(p, t) for p, t in self.tables if any(t is k for k in kept)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, so that Python workers can import it."""
     context = spark.sparkContext
