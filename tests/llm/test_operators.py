@@ -5,13 +5,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.llm import jaccard
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.html_text import extract_text, main_text
-from lodeseek.llm.jaccard import least_overlap, need, ngram_jaccard_join, shingles
+from lodeseek.llm.jaccard import least_overlap, need, ngram_jaccard_join, ngram_jaccard_links, shingles
 from lodeseek.llm.licences import NAMES, RULES, SENTENCES, STATED, TRIGGER, licence_scan
 from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.mixing import mix, mix_plan
@@ -166,11 +167,74 @@ def test_jaccard_bounds():
     assert len(shingles("a b c d e f a b c d e f")) == 6 and len(shingles("a b")) == 1 and len(shingles(" ")) == 0
 
 
+def hot_rows():
+    """Near copies of one text that are each linked with some of the others only, apart by up to eight changed words; and unrelated texts around one common passage."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for k in range(260):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4, 5))):
+            words[at] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(words)))
+    for k in range(260, 420):
+        # The passage and a few words of a small group: components of their own in the lists of the passage.
+        own = [f"g{k // 4}-{j}" for j in range(5)] + [f"k{k % 4}"]
+        rows.append((k, " ".join(common + own)))
+    for k in range(420, 520):
+        rows.append((k, " ".join([f"s{rng.randrange(3)}" if j == 8 else f"t{k // 10}-{j}" for j in range(22)])))
+    return rows
+
+
+def brute_links(rows):
+    sets = [set(shingles(t).tolist()) for _, t in rows]
+    return [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+
+def test_jaccard_hot_lists(spark):
+    """One hot token list of many components: results as by brute force, links from both sides, rows linear."""
+    rows = hot_rows()
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    got = ngram_jaccard_join(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert sum(r.stays for r in got) == len({r.component_id for r in got})
+    sides = Counter(r.side for r in ngram_jaccard_links(docs).collect())
+    assert sides["subsets"] > 0 and sides["lists"] > 0
+    # Far fewer than all pairs of the groups are looked at and linked.
+    assert sum(sides.values()) < len(brute_links(rows)) / 3
+
+
+def test_jaccard_every_boundary(spark, monkeypatch):
+    """All sets heavy, some light, all light: the same components."""
+    rows = hot_rows()[::3]
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    want = brute_components(rows)
+    for size in (0, 4, 12, 1000):
+        monkeypatch.setattr(jaccard, "_boundary", lambda lists, percent, size=size: size if size < 1000 else 30)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()) == want
+
+
+def test_jaccard_stays(spark):
+    """One row of each component stays; repeated rows are told by the stage, and texts without words stay all."""
+    rows = [(4, "a b c d e f g h", "s"), (4, "a b c d e f g h", "s"), (9, "a b c d e f g h", "s"), (None, "a b c d e f g h", "s"), (1, "", "s"), (2, None, "s"), (4, "z y x w v u", "s"), (None, "q r s t u v", "s")]
+    got = ngram_jaccard_join(table(spark, rows)).where("stays")
+    assert Counter(r.doc_id for r in got.collect()) == Counter([4, 4, 4, 1, 2, None])
+    assert got.select("mark").distinct().count() == 5
+
+
+def test_packed_shingles():
+    low, names = np.arange(70_000, dtype=np.uint32) * np.uint32(3), np.arange(70_000, dtype=np.uint64) << np.uint64(20)
+    for size in (1, 1000, 70_000):
+        back = jaccard._unpack(jaccard._pack(low[:size], names[:size]))
+        assert (back[0] == low[:size]).all() and (back[1] == names[:size]).all()
+
+
 def test_jaccard_class_names_are_spread():
     """Classes with small first bytes have names of their own, and no name is a count."""
     names = [jaccard._name(k.to_bytes(4, "little") + bytes(12)) for k in range(0, 1 << 16, 97)]
     assert len(set(names)) == len(names) and min(names) >= jaccard._COUNTS
-    assert jaccard._COUNTS <= jaccard._name(b"\xff" * 16) < 1 << 32
+    assert jaccard._COUNTS <= jaccard._name(b"\xff" * 16) < 1 << 64
 
 
 def test_licences(spark):
