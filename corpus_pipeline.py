@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.common import fresh_path, read_table, word_count
-from lodeseek.llm.jaccard import ngram_jaccard_join
+from lodeseek.llm.jaccard import ngram_jaccard_join, row_mark
 from lodeseek.llm.line_dedup import line_dedup
 from lodeseek.llm.mixing import mix
 from lodeseek.llm.quality import quality_filter, train
@@ -30,10 +30,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    groups = ngram_jaccard_join(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near-duplicates, that with the smallest id; repeated rows of it stay once."""
+    stays = ngram_jaccard_join(docs).where("stays").select("mark").distinct()
+    marked = docs.withColumn("mark", row_mark(F.col("doc_id"), F.col("text")))
+    return marked.join(stays, "mark", "left_semi").dropDuplicates(["mark"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
