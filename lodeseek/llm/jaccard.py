@@ -49,7 +49,7 @@ PERCENT = 75
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 #: What a row costs that is hashed and shuffled (a subset, or an entry of a list), in comparisons of entries.
-ROW_COST = 4
+ROW_COST = 8
 #: Members of the largest component of a list that a round compares with the rest of the list.
 PROBES = 4
 #: Rounds go on while each joins at least this share of the components that it looked at.
