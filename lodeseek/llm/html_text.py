@@ -1,11 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block of a page is a line. A line counts the characters of its text, or
-none if it is furniture (whose text goes at once): inside a menu, header, footer, sidebar, notice, advert, form or comments, by
-element, role, class or id (unless an element so marked by class or id lies around the article or its heading); outside the article where the page marks one; or made of links mostly. The
-lengths are summed over windows of WINDOW lines that slide down the page. A surge is where the sum
-leaves zero, a dive where it falls back to zero, and the text between a surge and its dive is a stretch.
-Every stretch is kept: those of a page without a marked article may be cut apart by furniture in its midst.
+Markup is stripped so that each block of a page is a line. Furniture goes with its markup and leaves no
+line: what is inside a menu, header, footer, sidebar, notice, advert, form or comments by element, role,
+class or id (unless an element so marked by class or id lies around the article or its heading, or only has
+a weak mark and holds a good deal of prose), so that what stands inside an article does not part it.
+
+A line counts the characters of its text that are no links, and EDGE more if its element is one of text (a
+paragraph, a list item); a line of links mostly counts nothing. Where the page marks an article, lines
+inside count SURGE more and lines outside count nothing. The counts are summed over windows of WINDOW lines
+that slide down the page. A surge is where a sum rises to SURGE (or half of the page's largest sum, if that
+is less), a dive where it falls below a quarter of that, and the text between a surge and its dive is a
+stretch of the article. Lines at the ends of a stretch that count less than EDGE go; every stretch is kept.
 """
 
 import html
@@ -19,6 +24,12 @@ from pyspark.sql import functions as F
 from lodeseek.llm.common import arrow_map
 
 WINDOW = 3
+#: Characters in a window from which text begins; a quarter of them ends it.
+SURGE = 80.0
+#: Characters from which a line may begin or end the text.
+EDGE = 25.0
+#: A weakly marked element is text if it has so many paragraphs and characters.
+PROSE_PARAGRAPHS, PROSE_CHARS = 3, 500
 #: A line outside a marked article is furniture if more of its characters than this share are links.
 LINKS = 0.6
 
@@ -40,6 +51,8 @@ MARKS = frozenset(
     respond reply replies disqus discussion reactions form search copyright disclaimer skip""".split()
 )
 STRONG = frozenset("ad ads advert advertisement sponsored promo related teaser comment comments reply replies".split())
+WEAK = frozenset("search notice notices social form skip banner alert rail modal widget widgets overlay share sharing promotion".split())
+TEXT = frozenset("p h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption caption tr td th summary".split())
 PAGE_HEADS = frozenset("header head top".split())
 OWN = frozenset("article post entry content story main page body title text".split())
 NEVER = frozenset("html body h1 h2 h3 h4 h5 h6 b i em strong u mark code sub sup small abbr".split())
@@ -49,6 +62,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _P = re.compile(r"<p(?=[\s>])", re.I)
+_TAG = re.compile(r"<[^>]*>")
+_SPACE = re.compile(r"\s+")
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -112,13 +127,15 @@ class _Outline:
     def is_layout(self, attrs: str, at: int) -> bool:
         """Whether an element that a mark calls furniture holds the text of the page all the same.
 
-        It does if it holds the page's own article, or any article and has an OWN word, or an h1 and paragraphs (on a
+        It does if its marks are weak and it has much prose, if it holds the page's own article, or any article and has an OWN word, or an h1 and paragraphs (on a
         page without paragraphs, an h1). One with a STRONG mark has to hold the own article or all h1 of the page.
         """
         end = self.end(at)
         if at <= self.own < end:
             return True
         words = _words({k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(attrs)})
+        if words & MARKS <= WEAK and self._is_prose(at, end):
+            return True
         if words & OWN and not words & STRONG and any(at <= p < end for p in self.pieces):
             return True
         held = sum(at <= p < end for p in self.h1)
@@ -127,11 +144,18 @@ class _Outline:
         return _P.search(self.page, at, end) is not None or _P.search(self.page) is None
 
 
-def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines of a page: text (empty for furniture), characters inside links, inside an article; and whether it marks one."""
-    lines: list[tuple[str, int, bool]] = []
+    def _is_prose(self, at: int, end: int) -> bool:
+        begins = [m.start() for m in _P.finditer(self.page, at, end)]
+        if len(begins) < PROSE_PARAGRAPHS:
+            return False
+        return len(_SPACE.sub(" ", _TAG.sub("", self.page[begins[0] : end]))) >= PROSE_CHARS
+
+
+def _lines(page: str) -> tuple[list[tuple[str, int, bool, str]], bool]:
+    """Lines of a page: text, characters inside links, inside an article, element; and whether the page marks an article."""
+    lines: list[tuple[str, int, bool, str]] = []
     parts: list[str] = []
-    linked, in_link, depth, marked = 0, False, 0, False
+    linked, in_link, depth, marked, kind = 0, False, 0, False, ""
     skip, skip_depth, until = "", 0, -1
     whole = re.search(r"</(?:body|html)\s*>", page, re.I) is not None
     at = 0
@@ -141,7 +165,7 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, min(linked, len(text)), depth > 0))
+            lines.append((text, min(linked, len(text)), depth > 0, kind))
         parts.clear()
         linked = 0
 
@@ -166,8 +190,6 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if skip:
             if name == skip:
                 skip_depth += -1 if closing else 1
-            if name in BLOCKS and not closing:
-                lines.append(("", 0, depth > 0))
             # A part that is never closed in a page that is complete ends where the article begins.
             lost = until < 0 and whole and not closing and name in ("article", "main", "h1")
             if skip == "head" and not closing and name == "body":
@@ -181,9 +203,10 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if closing:
             if name in ("article", "main"):
                 end_line()
-                depth = max(0, depth - 1)
+                depth, kind = max(0, depth - 1), ""
             elif name in BLOCKS:
                 end_line()
+                kind = ""
             elif name == "a":
                 in_link = False
             elif name in ("td", "th"):
@@ -203,16 +226,16 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 at = end.end() if end else len(page)
                 continue
             skip, skip_depth = name, 1
-            lines.append(("", 0, depth > 0))
             closed = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             until = closed.end() if closed else -1
             continue
         if name in ("article", "main"):
             end_line()
-            depth += 1
+            depth, kind = depth + 1, ""
             marked = True
         elif name in BLOCKS:
             end_line()
+            kind = name
         elif name in ("br", "td", "th", "wbr"):
             parts.append("" if name == "wbr" else " ")
         elif name == "a":
@@ -221,28 +244,46 @@ def _lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return lines, marked
 
 
+def _counts(lines: list[tuple[str, int, bool, str]], marked: bool) -> list[float]:
+    """What each line counts in a window."""
+    counts = []
+    for text, linked, inside, kind in lines:
+        if marked:
+            counts.append(len(text) + SURGE if inside else 0.0)
+        elif linked > LINKS * len(text):
+            counts.append(0.0)
+        else:
+            counts.append(len(text) - linked + (SURGE if kind == "h1" else EDGE if kind in TEXT else 0.0))
+    return counts
+
+
+def stretches(counts: list[float], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First line and the one after the last of each stretch between a surge and its dive."""
+    # Sums over the windows that begin at each line; the last windows run past the end.
+    sums, total = [0.0] * len(counts), 0.0
+    for i in range(len(counts) - 1, -1, -1):
+        total += counts[i] - (counts[i + window] if i + window < len(counts) else 0.0)
+        sums[i] = total
+    surge = min(SURGE, max(sums, default=0.0) / 2)
+    edge = min(EDGE, max(counts, default=0.0))
+    found, begin = [], None
+    for i, s in enumerate([*sums, 0.0]):
+        if begin is None and s >= surge > 0:
+            begin = i
+        elif begin is not None and s < surge / 4:
+            # A window reaches ahead of the text: it begins and ends at lines that count enough by themselves.
+            full = [k for k in range(begin, i) if counts[k] >= edge]
+            if full:
+                found.append((full[0], full[-1] + 1))
+            begin = None
+    return found
+
+
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The main text of a page: its blocks in order, joined by blank lines; empty if there is none."""
     lines, marked = _lines(page or "")
-    counted = [len(t) if (inside if marked else linked <= LINKS * len(t)) else 0 for t, linked, inside in lines]
-    # Sums over the windows that begin at each line; the last windows run past the end.
-    sums, total = [0] * len(counted), 0
-    for i in range(len(counted) - 1, -1, -1):
-        total += counted[i] - (counted[i + window] if i + window < len(counted) else 0)
-        sums[i] = total
-    stretches, surge = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and surge is None:
-            surge = i
-        elif not s and surge is not None:
-            stretches.append((surge, i))
-            surge = None
-    blocks = []
-    for a, b in stretches:
-        # A window reaches ahead of the surge: the text begins at the first line that counts.
-        full = [i for i in range(a, b) if counted[i]]
-        blocks += [t for t, _, inside in lines[full[0] : full[-1] + 1] if t and (inside or not marked)]
-    return "\n\n".join(blocks)
+    kept = [x for a, b in stretches(_counts(lines, marked), window) for x in lines[a:b]]
+    return "\n\n".join(text for text, _, inside, _ in kept if inside or not marked)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.llm import jaccard
+from lodeseek.llm import html_text, jaccard
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.html_text import extract_text, main_text
 from lodeseek.llm.jaccard import least_overlap, need, ngram_jaccard_join, ngram_jaccard_links, shingles
@@ -373,6 +373,67 @@ def test_html_unmarked_page_keeps_text_around_furniture():
     assert main_text(page) == "Head\n\nFirst part.\n\nSecond and longer part.\n\nMore of it.\n\nLast."
 
 
+def brute_stretches(counts, window):
+    sums = [sum(counts[i : i + window]) for i in range(len(counts))]
+    surge, edge = min(html_text.SURGE, max(sums, default=0) / 2), min(html_text.EDGE, max(counts, default=0))
+    out, i = [], 0
+    while i < len(sums):
+        if sums[i] < surge or not surge:
+            i += 1
+            continue
+        j = i
+        while j < len(sums) and sums[j] >= surge / 4:
+            j += 1
+        full = [k for k in range(i, j) if counts[k] >= edge]
+        out += [(full[0], full[-1] + 1)] if full else []
+        i = j
+    return out
+
+
+def test_html_stretches():
+    rng = random.Random(2)
+    for _ in range(3000):
+        counts = [float(rng.choice((0, 0, 2, 14, 19, 20, 25, 31, 79, 80, 300))) for _ in range(rng.randrange(14))]
+        for window in (1, 3, 5):
+            assert html_text.stretches(counts, window) == brute_stretches(counts, window)
+
+
+FURNITURE = [
+    '<div class="ad"><h3>Buy</h3><p>Now and at once, while stocks last in the shop.</p><p>Really.</p></div>',
+    '<aside><p>Beside the text there is another text of some length to be read.</p><ul><li>a</li><li>b</li><li>c</li></ul></aside>',
+    '<form class="newsletter"><p>Join</p><p>us</p><input></form>',
+    '<div class="related"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div>',
+    "<nav><a href=/>Home</a><a href=/x>More</a></nav>",
+    "<script>var a = '<p>no</p>';</script>",
+]
+
+
+def test_html_generated_pages():
+    """Articles of long and short blocks with furniture between any two: all blocks stay and nothing else, marked or not."""
+    rng = random.Random(7)
+    for _ in range(300):
+        blocks = [("h1", "A heading of the page")]
+        for k in range(rng.randrange(1, 12)):
+            tag = rng.choice(("p", "p", "p", "h2", "li", "blockquote"))
+            blocks.append((tag, " ".join(f"w{k}{j}" for j in range(rng.choice((1, 2, 8, 30, 120))))))
+        inner = ""
+        for tag, text in blocks:
+            inner += f"<{tag}>{text}</{tag}>" + (rng.choice(FURNITURE) if rng.random() < 0.3 else "")
+        want = "\n\n".join(text for _, text in blocks)
+        top, end = "<header><p>Site</p></header><nav><a href=/>Home</a></nav>", "<footer><p>Imprint</p></footer>"
+        assert main_text(f"<html><body>{top}<article>{inner}</article><div>Read more here, on this and other pages of ours</div>{end}</body></html>") == want
+        assert main_text(f"<html><body>{top}<div>Home</div><div>OK</div>{inner}<div>Top</div><div>OK</div>{end}</body></html>") == want
+
+
+def test_html_weak_marks():
+    """A block of prose whose class has a weak mark is text; a short one, or one with another mark, is none."""
+    prose = "<h2>On search</h2>" + "".join(f"<p>{'Words about the subject of it all. ' * 8}{k}</p>" for k in range(3))
+    other = "<div><p>" + "A text of the page itself. " * 10 + "</p></div>"
+    for attrs, stays in (("search-results-essay", True), ("social-policy", True), ("form-and-content", True), ("cookie-notice", False), ("comments", False), ("related-form", False)):
+        assert ("On search" in main_text(f"<body>{other}<div class={attrs}>{prose}</div></body>")) is stays, attrs
+    assert "short" not in main_text(f"<body>{other}<div class=search-box><p>short</p></div></body>")
+
+
 def test_html_marked_layouts_keep_the_article():
     """A layout wrapper whose class or id has a mark's word is no furniture; parts that are stay out."""
     nav, side = "<nav><a href=x>Menu</a></nav>", '<div class="sidebar"><article class="card"><h2>Card</h2><p>Teased.</p></article></div>'
