@@ -49,7 +49,7 @@ PERCENT = 75
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 #: What a row costs that is hashed and shuffled (a subset, or an entry of a list), in comparisons of entries.
-ROW_COST = 8
+ROW_COST = 16
 #: Members of the largest component of a list that a round compares with the rest of the list.
 PROBES = 4
 #: Rounds go on while each joins at least this share of the components that it looked at.
@@ -380,6 +380,9 @@ class _Join:
         self.links.append(found)
         return found
 
+    def _merge_classes(self, found: DataFrame) -> DataFrame:
+        return components(found, self.write)
+
     def _merge(self, found: DataFrame) -> DataFrame:
         """node and root of the components that links have joined."""
         a, b = (self.labels.select(F.col("cls").alias(c), F.col("root").alias("r" + c)) for c in "ab")
@@ -390,31 +393,30 @@ class _Join:
         rows = rows.withColumnRenamed("root", "old").join(merged, F.col("old") == F.col("node"), "left")
         return self.write(rows.select(*kept, F.coalesce("root", "old").alias("root")), name)
 
-    def _open(self, rows: DataFrame) -> DataFrame:
-        """Entries of the lists that hold several components; main is the largest of a list."""
-        by_root = rows.groupBy(*_LIST, "root").agg(F.count(F.lit(1)).alias("held"))
-        main = by_root.groupBy(*_LIST).agg(F.max(F.struct("held", "root")).alias("m"), F.count(F.lit(1)).alias("several")).where("several > 1")
-        main = self.write(main.select(*_LIST, F.col("m.root").alias("main")), "op9-main")
-        return self.write(rows.join(main, _LIST), "op9-open")
-
-    def _probed(self, rows: DataFrame, round_: int) -> DataFrame:
-        """Pairs of the rest of each list with PROBES members of its main component, chosen by a hash."""
+    def _open(self, rows: DataFrame, round_: int) -> DataFrame:
+        """Entries that are not in the largest component of their list, with its root (main) and PROBES of its members, chosen by a hash."""
         member = lambda k: F.min(F.struct(F.xxhash64("cls", "key", F.lit(round_ * PROBES + k)).alias("draw"), "cls", "n", "at", "light"))
-        probes = rows.where("root = main").groupBy(*_LIST).agg(F.array(*[member(k) for k in range(PROBES)]).alias("m"))
-        probes = probes.select(*_LIST, F.explode(F.array_distinct(F.transform("m", lambda x: x.dropFields("draw")))).alias("x")).select(*_LIST, "x.*")
-        probes = self.write(probes, "op9-probes")
-        return rows.where("root <> main").alias("p").join(probes.alias("q"), _LIST).where(self.can).selectExpr(*_PAIR)
-
-    def _remaining(self, rows: DataFrame) -> DataFrame:
+        by_root = rows.groupBy(*_LIST, "root").agg(F.count(F.lit(1)).alias("held"), F.array(*[member(k) for k in range(PROBES)]).alias("probes"))
+        lists = by_root.groupBy(*_LIST).agg(F.max(F.struct("held", "root", "probes")).alias("m"), F.count(F.lit(1)).alias("several")).where("several > 1")
+        lists = self.write(lists.select(*_LIST, F.col("m.root").alias("main"), F.col("m.probes").alias("probes")), "op9-main")
+        return self.write(rows.join(lists, _LIST).where("root <> main"), "op9-open")
+
+    def _probed(self, few: DataFrame) -> DataFrame:
+        """Pairs of the rest of each list with the probes of its main component."""
+        probes = F.array_distinct(F.transform("probes", lambda x: x.dropFields("draw")))
+        met = few.select(F.struct(*_ENTRY).alias("p"), F.explode(probes).alias("q"))
+        return met.where(self.can).selectExpr(*_PAIR)
+
+    def _remaining(self, rows: DataFrame, few: DataFrame) -> DataFrame:
         """All pairs of entries of one list that are in different components and can be linked, by bands of sizes."""
         p = self.percent
         band = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
         most = F.least(F.col("n") * 100 / p, (F.col("n") - F.col("at")) * (100 + p) / p - F.col("n"))
         most = F.greatest(most, F.col("n") * p / 100)
         reach = F.sequence(band(F.col("n") * p / 100) - 1, band(most) + 1)
-        few = rows.where("root <> main").withColumn("band", F.explode(reach))
+        few = few.drop("probes").withColumn("band", F.explode(reach))
         rows = rows.withColumn("band", band(F.col("n")))
-        once = "p.root <> q.root AND (q.root = q.main OR p.cls < q.cls)"
+        once = "p.root <> q.root AND (q.root = p.main OR p.cls < q.cls)"
         return few.alias("p").join(rows.alias("q"), [*_LIST, "band"]).where(f"{once} AND {self.can}").selectExpr(*_PAIR)
 
     def run(self) -> DataFrame:
@@ -424,24 +426,24 @@ class _Join:
         hub = F.min(F.struct("light", (F.col("own") / F.col("n")).alias("share"), "cls", "n", "at")).alias("h")
         hubs = self.write(entries.groupBy(*_LIST).agg(hub).select(*_LIST, "h.*"), "op9-hubs")
         found = self.link(entries.alias("p").join(hubs.alias("q"), _LIST).where(f"p.cls <> q.cls AND {self.can}").selectExpr(*_PAIR))
-        self.labels = self.sets.select("cls", F.col("cls").alias("root"))
-        merged = self._merge(found)
-        self.labels = self._relabel(self.labels, merged, "op9-labelled")
-        rows = self._open(self._relabel(entries.withColumn("root", F.col("cls")), merged, "op9-rooted"))
+        merged = self._merge_classes(found)
+        self.labels = self._relabel(self.sets.select("cls", F.col("cls").alias("root")), merged, "op9-labelled")
+        rows = self._relabel(entries.withColumn("root", F.col("cls")), merged, "op9-rooted")
         for round_ in itertools.count():
-            looked = rows.where("root <> main").select("root").distinct().count()
+            few = self._open(rows, round_)
+            looked = few.select("root").distinct().count()
             if not looked:
                 return self.labels
-            found = self.link(self._probed(rows, round_))
-            merged = self._merge(found)
+            merged = self._merge(self.link(self._probed(few)))
             joined = merged.where("node <> root").count()
-            if joined:
-                self.labels = self._relabel(self.labels, merged, "op9-labelled")
-                rows = self._open(self._relabel(rows, merged, "op9-rooted"))
             if joined < WORTH * looked:
                 break
-        found = self.link(self._remaining(rows))
-        self.labels = self._relabel(self.labels, self._merge(found), "op9-labelled")
+            self.labels = self._relabel(self.labels, merged, "op9-labelled")
+            rows = self._relabel(rows, merged, "op9-rooted")
+        # What the last round has joined is looked at once more: links that are implied already do no harm.
+        found = self.link(self._remaining(rows, few))
+        both = self.links[-2].unionByName(found)
+        self.labels = self._relabel(self.labels, self._merge(both), "op9-labelled")
         return self.labels
 
 
