@@ -1,6 +1,6 @@
 """DuckDB SQL for the opN queries that SQL can express."""
 
-from lodeseek.llm.licences import _SUBJECT, _VERB, RULES, TRIGGER, _known
+from lodeseek.llm.licences import _SUBJECT, _VERB, COMMENT, NAMES, RULES, SENTENCES, SPDX, SPDX_MORE, SPDX_NAMES, TRIGGER, _known, _tags
 from lodeseek.llm.queries import SPAM
 
 ORACLES: dict[str, str] = {}
@@ -31,20 +31,35 @@ FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 def _licence_sql() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in _known().items())
+    # Marks: chr(1) where a sentence may end, chr(2) where it does. Doubled, so that neighbours don't share one.
+    either = lambda texts: "|".join(sorted(texts, key=len, reverse=True)).replace(".", r"\.").replace("+", r"\+")
+    said = f"(?:{_SUBJECT[1:]})?(?:{either([*SENTENCES, *_tags()])}|(?:{_VERB[1:]}|under )(?:{either(NAMES)})(?: the licen[sc]e)?)"
+    said = said.replace("(the", "(?:the").replace("(this", "(?:this").replace("(work", "(?:work").replace("(is", "(?:is").replace("(terms", "(?:terms").replace("(licensed", "(?:licensed")
+    said = said.replace(" ", r"(?: |\x01\x01)")
+    cut = "coalesce(text, '')"
+    for old, new in (
+        (COMMENT, ""), *[(SPDX_MORE, r"\1\2\x02\1")] * (SPDX_NAMES - 1), (SPDX, r"\x02\1\2\x02"), (r"([.!?])[ \t\r\n]+", r"\1\x02"),
+        (r"\n[ \t\r]*\n", r"\x02\n"), (r"[;:][ \t\r\n]+", r"\x01"), (r"\n([ \t\r]*[A-Z0-9])", r"\x01\1"),
+    ):
+        new = "'" + new.replace(r"\x01", "' || chr(1) || '").replace(r"\x02", "' || chr(2) || '").replace(r"\n", "' || chr(10) || '") + "'"
+        cut = f"regexp_replace({cut}, '{old}', {new}, 'g')"
     sql = rf"""
 WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g'),
-    '\n([ \t\r]*[A-Z0-9\n])', chr(1) || '\1', 'g'), chr(1)) AS parts
+  SELECT doc_id, chr(2) || regexp_replace(lower({cut}), '[^a-z0-9.+\x01\x02]+', ' ', 'g') || chr(2) AS s
   FROM documents WHERE regexp_matches(text, '{TRIGGER}')
-), s AS (
-  SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS i FROM cut
 ), plain AS (
-  SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '\.( |$)', '\1', 'g')) AS s FROM s
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '\.([ \x01\x02])', '\1', 'g'), '[ \x01]*\x02[ \x01]*', chr(2), 'g'), ' *\x01[ \x01]*', chr(1), 'g') AS s FROM cut
+), found AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(s, '([\x01\x02])', '\1\1', 'g'), '[\x01\x02]({said})[\x01\x02]', 1) AS parts FROM plain
+), s AS (
+  SELECT doc_id, replace(unnest(parts), chr(1) || chr(1), ' ') AS s, unnest(range(len(parts))) AS i FROM found
 ), stated AS (
-  SELECT doc_id, i, regexp_replace(regexp_replace(s, '{_SUBJECT}', ''), '{_VERB}', 'under ') AS s FROM plain
-), known(s, name) AS (VALUES {known}), ids AS (
+  SELECT doc_id, i, s, regexp_replace(regexp_replace(regexp_replace(s, '{_SUBJECT}', ''), '{_VERB}', 'under '), ' the licen[sc]e$', '') AS t FROM s
+), known(s, name) AS (VALUES {known}), named AS (
+  SELECT doc_id, i, coalesce(a.name, b.name) AS name FROM stated LEFT JOIN known a USING (s) LEFT JOIN known b ON stated.t = b.s
+), ids AS (
   SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY i) AS ids, '|' || string_agg(name, '||' ORDER BY i) || '|' AS seq
-  FROM stated JOIN known USING (s) GROUP BY doc_id
+  FROM named WHERE name IS NOT NULL GROUP BY doc_id
 ), r0 AS (SELECT doc_id, n, ids, seq, []::VARCHAR[] AS found FROM ids)"""
     for k, (seq, licence) in enumerate(RULES):
         pattern = "|" + "||".join(seq) + "|"
