@@ -5,22 +5,20 @@ integer names; adjacent names are paired, the distinct pairs are sorted and name
 until each document has one name. Two documents of the same number of rounds have the same last name
 exactly if their bytes are equal: equal names stand for equal contents in each round, without hashing.
 
-A block that very many documents hold (a group of copies may be a third of all rows) is named through
-a broadcast table of at most HOT_BLOCKS blocks, so that its rows never meet in one task. Every other
-block is named through a shuffle. Pair rounds hold integers only; their tables are written before the
-join, so adaptive execution can split a hot pair.
+Blocks are named where they are told apart by their bytes. Rows then look their names up by the block's
+SHA-256, so that contents cross one shuffle only, copies of a block combined before it. Should two different
+blocks ever have one digest, names are looked up by content instead: the result never rests on a hash.
+
+Tables of names are written before rows are joined with them, so adaptive execution can split a block or a
+pair that very many documents hold (a group of copies may be a third of all rows).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import materialise
+from lodeseek.session import Scratch
 
 BLOCK_BYTES = 2048
-#: Blocks named by broadcast: at most HOT_BLOCKS * BLOCK_BYTES bytes.
-HOT_BLOCKS = 256
-#: Rows from which a block counts as hot.
-HOT_ROWS = 200
 
 
 def _named(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -45,32 +43,23 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int, keyed: bool)
     return rows.select("rid", "id", "sha", "n", F.posexplode(cut).alias("pos", "block"))
 
 
-def _first_names(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One row per block: rid, id and sha (first block only), n, pos, name."""
-    bare = _blocks(docs, id_col, text_col, size, keyed=False)
-    counts = bare.groupBy(F.xxhash64("block").alias("h")).count().where(F.col("count") >= HOT_ROWS)
-    hashes = [r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(HOT_BLOCKS).collect()]
-    is_hot = F.xxhash64("block").isin(hashes) if hashes else F.lit(False)
-    hot = bare.where(is_hot).distinct()
-    # Names of hot blocks are negative, all others are not, so the two never meet.
-    hot = _named(hot, ["block"], "k").select(F.col("block").alias("hot_block"), (-1 - F.col("k")).alias("hot_name"))
-    light = bare.where(~is_hot).select(F.concat(F.unhex(F.lit("01")), "block").alias("key")).distinct()
-    light = _named(light, ["key"], "light_name")
+def _digest(block: Column) -> Column:
+    return F.unhex(F.sha2(block, 256))
+
 
+def _first_names(docs: DataFrame, id_col: str, text_col: str, size: int, write) -> DataFrame:
+    """One row per block: rid, id and sha (first block only), n, pos, name."""
+    digest = _digest(F.col("block")).alias("key")
+    distinct = _blocks(docs, id_col, text_col, size, keyed=False).select(digest, "block").distinct()
+    names = write(_named(distinct, ["block"], "name").select("key", "name"), "op5-blocks")
+    key = digest
+    if not names.groupBy("key").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").isEmpty():
+        key = F.col("block").alias("key")
+        names = write(_named(distinct.select(key), ["key"], "name"), "op5-blocks")
     rows = _blocks(docs, id_col, text_col, size, keyed=True)
-    if hashes:
-        rows = rows.join(F.broadcast(hot), F.col("block") == F.col("hot_block"), "left").drop("hot_block")
-    else:
-        rows = rows.withColumn("hot_name", F.lit(None).cast("long"))
-    # Rows that have a name already are spread by their own number, and find nothing below.
-    spread = F.concat(F.unhex(F.lit("00")), F.encode(F.concat_ws(":", "rid", "pos"), "UTF-8"))
-    key = F.when(F.col("hot_name").isNull(), F.concat(F.unhex(F.lit("01")), "block")).otherwise(spread)
-    rows = rows.select(
-        "rid", F.when(F.col("pos") == 0, F.col("id")).alias("id"), F.when(F.col("pos") == 0, F.col("sha")).alias("sha"),
-        "n", "pos", "hot_name", key.alias("key"),
-    )
-    rows = rows.join(light, "key", "left")
-    return rows.select("rid", "id", "sha", "n", "pos", F.coalesce("hot_name", "light_name").alias("name"))
+    first = F.col("pos") == 0
+    rows = rows.select("rid", F.when(first, F.col("id")).alias("id"), F.when(first, F.col("sha")).alias("sha"), "n", "pos", key)
+    return rows.join(names, "key").select("rid", "id", "sha", "n", "pos", "name")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -81,7 +70,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     such a row stays only if its group has no other ids. Of repeated rows (same id and text) all are
     counted and exactly one stays. No input rows give no rows; other columns are not read.
     """
-    first = materialise(_first_names(docs, id_col, text_col, block_bytes), "op5-names")
+    scratch = Scratch(docs.sparkSession)
+    first = scratch.write(_first_names(docs, id_col, text_col, block_bytes, scratch.write), "op5-names")
     base = first.where("pos = 0").select("rid", "id", "sha")
     most = first.agg(F.max("n")).first()[0] or 1
     done = [first.where("n = 1").select("rid", F.lit(0).alias("level"), "name")]
@@ -98,18 +88,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "rid", "pos", F.shiftright(F.col("n") + 1, 1).alias("n"), "a",
             F.coalesce(F.col("b.name"), F.lit(0)).alias("b"), F.col("b").isNotNull().alias("two"),
         )
-        names = materialise(_named(pairs.select("a", "b", "two").distinct(), ["a", "b", "two"], "name"), "op5-pairs")
-        step = materialise(pairs.join(names, ["a", "b", "two"]).select("rid", "n", "pos", "name"), "op5-round")
+        names = scratch.write(_named(pairs.select("a", "b", "two").distinct(), ["a", "b", "two"], "name"), "op5-pairs")
+        step = scratch.write(pairs.join(names, ["a", "b", "two"]).select("rid", "n", "pos", "name"), "op5-round")
         done.append(step.where("n = 1").select("rid", F.lit(level).alias("level"), "name"))
         now = step.where("n > 1")
     named = done[0]
     for part in done[1:]:
         named = named.unionByName(part)
-    rows = materialise(base.join(named, "rid"), "op5-rows")
+    rows = scratch.write(base.join(named, "rid"), "op5-rows")
     groups = rows.groupBy("level", "name").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "rid")).alias("keep")
     )
-    groups = materialise(groups, "op5-groups")
+    groups = scratch.write(groups, "op5-groups")
+    scratch.clear(rows, groups)
     return rows.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
