@@ -5,10 +5,12 @@ each document is emitted floor(rate) times plus once more with probability equal
 drawn from a hash of seed and id, so that reruns agree.
 """
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.common import word_count
+from lodeseek.llm.common import materialise, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -20,33 +22,47 @@ BROADCAST_BYTES = 8 << 20
 SALTS = 64
 
 
-def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def _in_turn(by_source: DataFrame, weights: tuple, write) -> DataFrame:
+    """by_source with the weight of each source: they take the weights in turn, in code point order, null last.
+
+    The place of a source is its place in a range of sources and the number of sources in earlier ranges; one
+    number for each range comes to the driver.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = by_source.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a row in its range stands in the lower 33 bits.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = write(ranges.select("*", F.spark_partition_id().alias("range"), place.alias("place")), "op6-sources")
+    counts = sorted((r["range"], r["count"]) for r in ranges.groupBy("range").count().collect())
+    begins = dict(zip((k for k, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False))
+    if not begins:
+        return ranges.withColumn("weight", F.lit(0.0))
+    begin = F.element_at(F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]), F.col("range"))
+    turn = F.pmod(begin + F.col("place"), F.lit(len(weights))) + 1
+    return ranges.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
+
+
+def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, write=materialise) -> DataFrame:
     """Targets of the sources of sized (source, size): source, source_size, target.
 
     Sources in code point order, null last, take the weights in turn. They share `share` times all
     sizes by weight; none gets more than `most` times its size, and the excess is shared again by
-    weight. That process ends at min(most * size, level * weight) for one level, which is found from
-    running sums over the sources in order of the level at which each is full. The rows windowed here
-    are sources, already summed, not documents.
+    weight until none is above. A round of that sums over the sources in all tasks; two numbers of each come
+    to the driver, and the sources themselves stay where they are, however many they are.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One window for the whole table: a row for each source.
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    rows = by_source.withColumn("weight", weight).withColumn("full", F.col("source_size") * F.lit(float(most)))
-    before = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("full").over(before), F.lit(0.0))
-    weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    # The level if all sources before this one are full and this and all later ones are not.
-    rows = rows.withColumn("left", left).withColumn("weights_left", weights_left)
-    open_ = F.col("full") * F.col("weights_left") > F.col("left") * F.col("weight")
-    best = F.min(F.when(open_, F.struct(F.col("full") / F.col("weight"), F.col("left"), F.col("weights_left")))).over(everything)
-    rows = rows.withColumn("best", best)
-    reached = F.col("best.left") * F.col("weight") / F.col("best.weights_left")
-    target = F.when(F.col("best").isNull(), F.col("full")).otherwise(F.least(F.col("full"), reached))
-    return rows.select("source", "source_size", target.alias("target"))
+    rows = _in_turn(by_source, weights, write).withColumn("full", F.col("source_size") * F.lit(float(most)))
+    total, weight = rows.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, left, weights_left = (total or 0) * share, (total or 0) * share, weight or 0.0
+    while weights_left > 0:
+        # Sources are full if what they would get is no less than what they may.
+        is_full = F.col("full") * F.lit(weights_left) <= F.lit(left) * F.col("weight")
+        taken, gone = rows.where(is_full).agg(F.sum("full"), F.sum("weight")).first()
+        before, left, weights_left = weights_left, total - (taken or 0.0), weight - (gone or 0.0)
+        if weights_left == before:
+            break
+    reached = F.lit(left) * F.col("weight") / F.lit(weights_left) if weights_left > 0 else F.col("full")
+    return rows.select("source", "source_size", F.least("full", reached).alias("target"))
 
 
 def _unit(seed: str):
@@ -70,7 +86,7 @@ def mix_plan(
     )
     sized = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     targets = source_targets(sized, weights, share, most).select(F.col("source").alias("s"), "source_size", "target")
-    n, length = docs.select(F.col(source_col).alias("s")).distinct().agg(F.count(F.lit(1)), F.sum(F.octet_length("s"))).first()
+    n, length = targets.agg(F.count(F.lit(1)), F.sum(F.octet_length("s"))).first()
     same = F.col("source").eqNullSafe(F.col("s"))
     if n <= BROADCAST_SOURCES and (length or 0) <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(targets), same)
@@ -85,7 +101,10 @@ def mix_plan(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as its rate and its draw say."""
+    """The mix itself: the columns of docs, each row as often as its rate and its draw say.
+
+    Nulls, repeated rows and ties as in mix_plan; an empty table gives no rows.
+    """
     return (
         mix_plan(docs, **options).where("copies > 0")
         .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
