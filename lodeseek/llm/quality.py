@@ -1,11 +1,11 @@
 """Quality rules: base rules on words, then a calibrated logistic regression on hashed n-grams.
 
-Features are relative frequencies of hashed word 1- and 2-grams and of hashed 3- and 4-grams of bytes,
-over the whole text. The regression is fitted on labelled rows, its scores are calibrated on a fold that
+Features are relative frequencies of hashed word 1- and 2-grams and of hashed 3- and 4-grams of characters
+(code points), over the whole text. The regression is fitted on labelled rows, its scores are calibrated on a fold that
 the fit has not seen, and a document is kept if its calibrated probability reaches a fixed threshold.
 
-At most TRAIN_ROWS labelled rows are used for fitting and calibrating, chosen by a hash of their id; the
-whole text of each is read. Everything else covers all rows. Scoring runs in Arrow batches and looks up a
+At most TRAIN_ROWS labelled rows are used for fitting and calibrating, chosen by a hash of their id, and of
+those, in that order, as many as have TRAIN_BYTES of features in all; the whole text of each is read. Everything else covers all rows. Scoring runs in Arrow batches and looks up a
 weight for each n-gram, so that its memory does not depend on the number of features.
 """
 
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.common import arrow_map
 from lodeseek.llm.wordhash import SPACES, word_hashes
+from lodeseek.session import Scratch
 
 #: The bound of the training sample.
 TRAIN_ROWS = 1500
+#: The bound of the features of the sample that come to the driver.
+TRAIN_BYTES = 96 << 20
 #: log2 of the number of buckets of each of the four kinds of n-gram.
 BITS = 15
 KINDS = 4
@@ -34,6 +37,7 @@ WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
 _M = np.uint32(0x9E3779B1)
+_A = np.uint32(0x01000193)
 _SHIFT = np.uint32(32 - BITS)
 
 
@@ -81,19 +85,22 @@ class Words:
         return int((np.cumsum(change[: n + window - 1]) > 0).sum())
 
 
-def buckets(data: bytes, words: Words) -> list[np.ndarray]:
-    """The bucket of each word 1-gram, word 2-gram, byte 3-gram and byte 4-gram, each kind in a range of its own."""
+def buckets(text: str, words: Words) -> list[np.ndarray]:
+    """The bucket of each word 1-gram, word 2-gram, character 3-gram and character 4-gram, each kind in a range of its own."""
     h = (words.hashes >> np.uint64(32)).astype(np.uint32)
-    a = np.frombuffer(data, np.uint8).astype(np.uint32)
-    three = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:] if len(a) > 2 else np.zeros(0, np.uint32)
-    four = (three[:-1] << np.uint32(8)) | a[3:] if len(a) > 3 else np.zeros(0, np.uint32)
+    if text.isascii():
+        a = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
+    else:
+        a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    three = (a[:-2] * _A ^ a[1:-1]) * _A ^ a[2:] if len(a) > 2 else np.zeros(0, np.uint32)
+    four = three[:-1] * _A ^ a[3:] if len(a) > 3 else np.zeros(0, np.uint32)
     kinds = [h * _M, (h[:-1] * np.uint32(0x85EBCA6B) ^ h[1:]) * _M, three * _M, four * _M]
     return [(x >> _SHIFT) + np.uint32(k << BITS) for k, x in enumerate(kinds)]
 
 
-def _features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     cols, values = [], []
-    for b in buckets(data, Words(data)):
+    for b in buckets(text, Words(text.encode())):
         u, n = np.unique(b, return_counts=True)
         cols.append(u)
         values.append(n * (SCALE / max(1, len(b))))
@@ -138,19 +145,21 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float):
         self.weights, self.bias, self.slope, self.offset = weights.astype(np.float32), bias, slope, offset
 
-    def score(self, data: bytes, words: Words) -> float:
-        parts = (float(self.weights.take(b).sum(dtype=np.float64)) * (SCALE / max(1, len(b))) for b in buckets(data, words))
+    def score(self, text: str, words: Words) -> float:
+        parts = (float(self.weights.take(b).sum(dtype=np.float64)) * (SCALE / max(1, len(b))) for b in buckets(text, words))
         return sum(parts) + self.bias
 
-    def probability(self, data: bytes, words: Words) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.score(data, words) + self.offset, -30, 30))))
+    def probability(self, text: str, words: Words) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.score(text, words) + self.offset, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS) -> Model:
-    """Fits and calibrates the model on at most `most` labelled rows.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits and calibrates the model on at most `most` labelled rows with `most_bytes` of features.
 
-    Rows without id or label are left out; a null text counts as empty. With no row of one of the
-    classes the model keeps everything. The features of the sample, not its texts, come to the driver.
+    Rows without id or label are left out; of several labels of one id the largest counts, and of several
+    texts of one id the one whose features are first by bytes. A null text counts as empty. With no row of
+    one of the classes (an empty table has none) the model keeps everything. The features of the sample, not
+    its texts, come to the driver.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = chosen.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -161,21 +170,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_features((x.as_py() or "").encode()) for x in batch.column(1)]
+            found = [_features(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())],
                 names=["id", "y", "cols", "vals"],
             )
 
-    table = arrow_map(rows.select("id", "text", "y"), run, f"id {kind}, y int, cols binary, vals binary").toArrow()
-    # One row for each id, in an order that does not depend on the tasks.
-    best = {i: k for k, i in reversed(list(enumerate(table.column("id").to_pylist())))}
-    order = [best[i] for i in sorted(best)]
-    y = np.array(table.column("y").to_pylist(), float)[order] if order else np.zeros(0)
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.write(arrow_map(rows.select("id", "text", "y"), run, f"id {kind}, y int, cols binary, vals binary"), "op10-features")
+    # Sizes first: one row for each id of the sample, in the order of the hash.
+    sizes = found.groupBy("id").agg(F.max(F.octet_length("cols") + F.octet_length("vals")).alias("size"))
+    held, picked = 0, []
+    for r in sizes.orderBy(F.xxhash64("id"), "id").collect():
+        if held + r["size"] <= most_bytes:
+            held += r["size"]
+            picked.append(r["id"])
+    one = found.where(F.col("id").isin(picked)).groupBy("id").agg(F.min(F.struct("cols", "vals", "y")).alias("x")) if picked else found.limit(0).select("id", F.struct("cols", "vals", "y").alias("x"))
+    table = one.select("id", "x.*").orderBy("id").toArrow()
+    scratch.clear()
+    y = np.array(table.column("y").to_pylist(), float)
     if len(set(y)) < 2:
         return Model(np.zeros(KINDS << BITS), 30.0, 1.0, 0.0)
-    cols = [np.frombuffer(table.column("cols")[k].as_py(), np.int32) for k in order]
-    vals = [np.frombuffer(table.column("vals")[k].as_py(), np.float32) for k in order]
+    cols = [np.frombuffer(x.as_py(), np.int32) for x in table.column("cols")]
+    vals = [np.frombuffer(x.as_py(), np.float32) for x in table.column("vals")]
     del table
     # Every fourth row of each class calibrates, the others fit; classes too small for that do both.
     turn = np.zeros(len(y), int)
@@ -224,7 +241,10 @@ def quality_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def quality_filter(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Nulls are judged as in quality_rules."""
+    """The rows of docs that the rules keep, with all their columns, repeated rows as often as they stand.
+
+    Nulls are judged as in quality_rules; an empty table gives no rows; other columns pass as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -240,8 +260,7 @@ FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _judge(text: str, model: Model, threshold: float) -> tuple:
-    data = text.encode()
-    words = Words(data)
+    words = Words(text.encode())
     n = len(words)
     seen, again = set(), 0
     for line in text.split("\n"):
@@ -251,5 +270,5 @@ def _judge(text: str, model: Model, threshold: float) -> tuple:
     repeated = words.repeated()
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED_PERCENT * n
     chars = len(text) - sum(map(text.count, SPACES))
-    p = model.probability(data, words)
+    p = model.probability(text, words)
     return n, chars, sum(map(text.count, SYMBOLS)), again, repeated, failed, p, not failed and p >= threshold
