@@ -79,7 +79,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Of the records with equal payloads of at least least_bytes bytes, those with the smallest id are
     responses and the others revisit that id; smaller payloads are all responses. A null html is an empty
     payload. Rows without an id never are what others refer to, and are responses if no row of their payload
-    has an id. A lost task writes anew under another name: only the archives returned count.
+    has an id; repeated rows of the smallest id are all responses. An empty table gives one archive without
+    records. Other columns are not read. A record is held in memory, and has to be below 2 GB (a Spark cell). A lost task writes anew under another name: only the archives returned count.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("key"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -115,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 
 def list_archives(spark: SparkSession, folder: str, suffix: str = ".warc.gz") -> DataFrame:
-    """path and size of the archives in a folder, through Spark's own file systems."""
+    """path and size of the archives in a folder and below, through Spark's own file systems; no rows if there are none."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("length").alias("size"))
 
@@ -174,6 +175,12 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
+def _length(fields: dict[str, str], held: int) -> int:
+    """The bytes of a block: as stated, or all there are if nothing usable is stated."""
+    stated = fields.get("content-length", "")
+    return min(int(stated), held) if stated.isascii() and stated.isdigit() else held
+
+
 def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Place, header fields and block of the records that begin in bytes start to end of an archive."""
     source, known = _Bytes(file, start), False
@@ -211,7 +218,7 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str]
             continue
         head, _, block = record.partition(b"\r\n\r\n")
         fields = _fields(head)
-        yield place, fields, block[: int(fields.get("content-length", len(block)))]
+        yield place, fields, block[: _length(fields, len(block))]
 
 
 def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -219,7 +226,8 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
     The payload of a response is what follows its HTTP head, and its digest is computed from it; a revisit
     has no payload of its own (null), and the digest that it states. Records of other types have their block
-    as payload. Damaged members are passed over. No archives give no rows.
+    as payload. Damaged members are passed over; a block whose stated length is no number, negative or beyond
+    the member is taken whole, and fields that are no header lines are ignored. No archives give no rows.
     """
     spans = archives.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("size", F.lit(1)) - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     count = archives.agg(F.sum(F.ceil(F.col("size") / range_bytes))).first()[0] or 1
