@@ -12,6 +12,7 @@ The vocabulary is read from a tokenizer file on the driver, and broadcast: its s
 """
 
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -38,10 +39,35 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def check_spec(spec: dict) -> None:
+    """Raises ValueError if a tokenizer file asks for anything that this encoder does not do."""
+    model, split, decoder = (spec.get(k) or {} for k in ("model", "pre_tokenizer", "decoder"))
+    fault = None
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        fault = "its model is no plain byte-level BPE"
+    elif spec.get("normalizer"):
+        fault = "it normalises texts"
+    elif split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        fault = "it splits texts in another way"
+    elif decoder.get("type") != "ByteLevel":
+        fault = "it decodes in another way"
+    elif any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        fault = "its added tokens take more than their own text"
+    else:
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        ids = [model["vocab"].get("".join(m), -1) for m in merges]
+        # Pieces are merged by rank of the token that results, so ids have to follow the order of merges.
+        if any(b <= a for a, b in itertools.pairwise([-1, *ids])):
+            fault = "the order of its merges is not that of its ids"
+    if fault:
+        raise ValueError(f"this tokenizer file can't be used: {fault}")
+
+
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """Ranks by bytes, and special tokens by text, of a byte-level BPE file."""
+    """Ranks by bytes, and special tokens by text, of a byte-level BPE file; other files are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    check_spec(spec)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     # Printable bytes stand for themselves in the file, the others for the code points from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -196,7 +222,12 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def bpe_decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """The texts of token ids: the id column and text. Null ids count as none and give an empty text."""
+    """The texts of token ids: the id column and text.
+
+    One row per input row, repeated rows and null ids too. A null array counts as no ids and gives an empty
+    text; bytes that are no UTF-8 give replacement characters; an id that the vocabulary lacks raises. Empty
+    tables give no rows; other columns are not read.
+    """
     shared = _Shared(encoded.sparkSession, path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
