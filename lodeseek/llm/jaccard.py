@@ -492,7 +492,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = every.where("cls IS NOT NULL").groupBy("cls").agg(first)
     placed = classes.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     placed = scratch.write(placed, "op9-classes")
-    final = placed.join(placed.groupBy("root").agg(F.min("least").alias("least_of_all")), "root")
+    # Written first: the join can then be split where a component has very many classes.
+    firsts = scratch.write(placed.groupBy("root").agg(F.min("least").alias("least_of_all")), "op9-firsts")
+    final = placed.join(firsts, "root")
     final = scratch.write(final.select("cls", F.col("least_of_all.id").alias("component"), F.col("least_of_all.mark").alias("least_mark")), "op9-components")
     scratch.clear(every, final)
     chosen = F.col("id").eqNullSafe(F.col("component")) & (F.col("mark") == F.col("least_mark"))
