@@ -1,6 +1,7 @@
 """BPE against the file's own library, quality rules against plain Python and held-out labels, and the pipeline against brute force."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeseek.llm.bpe import TreeEncoder, bpe_decode, bpe_encode, bpe_round_trip, default_path, read_vocabulary
-from lodeseek.llm.quality import Model, quality_filter, quality_rules, train
+from lodeseek.llm.bpe import TreeEncoder, bpe_decode, bpe_encode, bpe_round_trip, check_spec, default_path, read_vocabulary
+from lodeseek.llm.quality import Model, Words, buckets, quality_filter, quality_rules, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PARTS = ["a", "b", "the", " ", "  ", "\n", "\t", "é", "中", "1", "23", "'s", "'ll", "!!", "<|endoftext|>", "<|end", "x" * 30, " " * 20, "ab" * 20, "🎉", " ", "\r\n", "ZZ"]
@@ -49,6 +50,45 @@ def test_bpe_tables(spark, library):
     assert bpe_round_trip(rows.limit(0)).count() == 0
 
 
+def test_other_tokenizer_files_are_refused():
+    with open(default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    check_spec(spec)
+    changes = {
+        "model": spec["model"] | {"type": "Unigram"}, "normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "Whitespace"}, "decoder": {"type": "WordPiece"},
+        "added_tokens": [spec["added_tokens"][0] | {"lstrip": True}],
+    }
+    for key, value in changes.items():
+        with pytest.raises(ValueError, match="can't be used"):
+            check_spec(spec | {key: value})
+    for part in ({"merges": spec["model"]["merges"][::-1]}, {"byte_fallback": True}, {"dropout": 0.1}):
+        with pytest.raises(ValueError, match="can't be used"):
+            check_spec(spec | {"model": spec["model"] | part})
+    for other in ("prefix", "regex"):
+        split = spec["pre_tokenizer"] | ({"add_prefix_space": True} if other == "prefix" else {"use_regex": False})
+        with pytest.raises(ValueError, match="splits"):
+            check_spec(spec | {"pre_tokenizer": split})
+
+
+def test_character_grams():
+    """Buckets count characters, whatever their bytes; ASCII and other texts are hashed alike."""
+    for text in ("abcde", "äbcdé", "中文字符串", "a中b🎉c"):
+        _, _, three, four = buckets(text, Words(text.encode()))
+        assert (len(three), len(four)) == (max(0, len(text) - 2), max(0, len(text) - 3))
+    plain, mixed = (buckets(t, Words(t.encode()))[2] for t in ("abcabc", "abcabcé"))
+    assert plain.tolist() == mixed.tolist()[:4] and plain[0] == plain[3]
+    assert [len(b) for b in buckets("", Words(b""))] == [0, 0, 0, 0]
+
+
+def test_sample_of_bounded_bytes(spark):
+    docs = spark.createDataFrame([(k, clean(k) if k % 2 else junk(k)) for k in range(200)] + [(0, clean(0))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(1, 0), (3, 1)], "doc_id long, quality int")
+    whole, bounded = train(docs, labels), train(docs, labels, most_bytes=60_000)
+    assert abs(whole.weights - bounded.weights).max() > 0 and abs(bounded.weights).max() > 0
+    none = train(docs, labels, most_bytes=10)
+    assert not none.weights.any()
+
+
 def base(text):
     text = text or ""
     words = WORD.findall(text)

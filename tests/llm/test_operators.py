@@ -10,13 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek.llm import exact_dedup as dedup_module
 from lodeseek.llm import html_text, jaccard
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.html_text import extract_text, main_text
 from lodeseek.llm.jaccard import least_overlap, need, ngram_jaccard_join, ngram_jaccard_links, shingles
 from lodeseek.llm.licences import NAMES, RULES, SENTENCES, STATED, TRIGGER, licence_scan
 from lodeseek.llm.line_dedup import line_dedup
-from lodeseek.llm.mixing import mix, mix_plan
+from lodeseek.llm.mixing import mix, mix_plan, source_targets
 from lodeseek.llm.oracles import ORACLES
 from lodeseek.llm.url_filters import url_filter, validity_intervals
 
@@ -57,6 +58,48 @@ def test_exact_dedup_hot_blocks_and_prefixes(spark):
     assert got == {k: best[t] for k, t, _ in rows}
 
 
+def test_exact_dedup_does_not_rest_on_digests(spark, monkeypatch):
+    """With a digest that different blocks share, names are looked up by content, and the result is the same."""
+    docs = table(spark, MESSY)
+    want = Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs, block_bytes=64).collect())
+    monkeypatch.setattr(dedup_module, "_digest", lambda block: F.unhex(F.substring(F.sha2(block, 256), 1, 2)))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup(docs, block_bytes=64).collect()) == want
+
+
+def shares(sizes, weights=(5, 2, 1)):
+    """The process as it is stated: share, stop those above their cap, share the rest again."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while open_:
+        left = 1.5 * sum(sizes.values()) - sum(target.values())
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > 2 * sizes[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+        open_ -= set(over)
+    return target | {s: left * weight[s] / total for s in open_}
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_targets_of_many_sources(spark, ranges):
+    """Thousands of sources with sizes of many orders, null and empty names, and sources without words."""
+    rng = random.Random(ranges)
+    sizes = {f"host{k}.{'é' * (k % 3)}": int(rng.paretovariate(0.4)) % 10**7 for k in range(3000)} | {None: 17, "": 5, "none": 0}
+    sized = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {r.source: r for r in source_targets(sized).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = shares(sizes)
+    assert {s: r.source_size for s, r in got.items()} == sizes
+    assert all(got[s].target == pytest.approx(want[s], rel=1e-12) for s in sizes)
+    assert source_targets(sized.limit(0)).count() == 0 and source_targets(sized.where("size = 0")).first().target == 0
+
+
 def test_mixing(spark):
     random.seed(5)
     rows = [(k, "w " * random.randint(0, 40), random.choice(["a", "a", "a", "b", "c", None, "d"])) for k in range(900)]

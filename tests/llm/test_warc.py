@@ -43,3 +43,19 @@ def test_ranges_own_each_record_once_and_pass_over_false_members():
     for span in (7, 64, 333, 10_000):
         found = [f["x-page-id"] for a in range(0, len(data), span) for _, f, _ in records_in(io.BytesIO(data), a, a + span)]
         assert found == [str(i) for i in range(20)]
+
+
+@pytest.mark.parametrize("stated, held", [(b"12x", b"body here"), (b"-3", b"body here"), (b"", b"body here"), (b"999", b"body here"), (b"4", b"body"), ("٤".encode(), b"body here")])
+def test_lengths_that_can_not_be_used_take_the_whole_block(stated, held):
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nno header line\r\nContent-Length: " + stated + b"\r\n\r\nbody here"
+    data = gzip.compress(record) + _member(_record("1", "u", b"after", None))
+    found = list(records_in(io.BytesIO(data), 0, len(data)))
+    assert [b for _, _, b in found][0] == held and found[1][1]["x-page-id"] == "1"
+
+
+def test_clashing_columns_and_all_nulls(spark):
+    """Columns of the operator's own names in the input are not read."""
+    rows = [(1, "u", "one", 7, "x", "z"), (None, None, None, None, None, None), (2, "u", "one", 8, "y", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload long, refers_to string, record_type string")
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in resolved(read_warc(write_warc(pages, fresh_path(spark, "warc-test")))).collect()}
+    assert got == {("1", "response", None, 3), ("2", "revisit", "1", 3), (None, "response", None, 0)}
