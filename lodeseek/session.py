@@ -46,6 +46,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Compresses well, and in heap memory: many small tables leave no buffers outside it.
+CODEC = "zstd"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -54,7 +58,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,7 +70,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", CODEC).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((path, table))
         return table
