@@ -25,18 +25,19 @@ KEYWORDS = """
 # Parts of column names whose contents count as personal.
 PERSONAL = ("name", "address", "email", "phone", "ssn", "dob", "birth", "passport")
 NO_STRINGS = "array<string>"
+ASCII = r"^[\x00-\x7f]*$"
 
 
 def _folds() -> tuple[str, str, dict[str, str]]:
-    """Letters and digits that fold to one character, those characters, and what the others fold to."""
-    one, to, many = [], [], dict(HAND)
+    """Letters and digits that fold to one letter or digit, those, and what the others fold to."""
+    one, to, many = [], [], {}
     for c in map(chr, range(128, sys.maxunicode + 1)):
-        if unicodedata.category(c)[0] not in "LN" or c in HAND:
+        if unicodedata.category(c)[0] not in "LN":
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        plain = HAND.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if plain == c or re.match(CJK, c):
             continue
-        if len(plain) == 1 and ord(c) < 0x10000:
+        if len(plain) == 1 and ord(c) < 0x10000 and unicodedata.category(plain)[0] in "LN":
             one.append(c)
             to.append(plain)
         elif ord(c) < 0x2000 or 0xFB00 <= ord(c) <= 0xFB06:
@@ -45,6 +46,9 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 _ONE, _TO, _MANY = _folds()
+#: Letters that are common in texts and fold to two others: they are replaced in whole texts.
+_TWO = {c: HAND[c] for c in HAND if len(HAND[c]) == 2}
+_RARE = "".join(c for c in _MANY if c not in _TWO)
 
 
 def fold(token: Column) -> Column:
@@ -52,10 +56,11 @@ def fold(token: Column) -> Column:
 
     Of the letters that fold to several, those below U+2000 and the Latin ligatures are covered.
     """
-    many = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    # One literal that is parsed once a plan, in place of a literal for each letter.
+    many = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{v}" for c, v in _MANY.items())), F.lit("\u0001"), F.lit("\u0002"))
     spelled = F.array_join(F.transform(F.split(token, ""), lambda c: F.coalesce(F.element_at(many, c), c)), "")
     wide = F.when(token.rlike("[" + "".join(_MANY) + "]"), spelled).otherwise(token)
-    return F.when(token.rlike(r"^[\x00-\x7f]*$"), token).otherwise(F.regexp_replace(F.translate(wide, _ONE, _TO), r"\p{M}", ""))
+    return F.when(token.rlike(ASCII), token).otherwise(F.regexp_replace(F.translate(wide, _ONE, _TO), r"\p{M}", ""))
 
 
 def is_cjk(token: Column) -> Column:
@@ -69,11 +74,19 @@ def _grams(token: Column, n: int) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Tokens of a text in order (T1): camel case split, lower case, accents folded; CJK runs as unigrams, then bigrams."""
+    """Tokens of a text in order (T1): camel case split, lower case, accents folded; CJK runs as unigrams, then bigrams.
+
+    A text of ASCII needs no folding, and one without CJK and rare letters is folded as a whole: letters become
+    letters and digits digits, so its runs are the same. Only other texts are folded token by token.
+    """
     spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "(?<=[a-z0-9])(?=[A-Z])", " "))
-    runs = F.regexp_extract_all(spaced, F.lit(r"([\p{L}\p{N}]+)"), 1)
-    parts = F.transform(runs, lambda r: F.when(is_cjk(r), F.concat(_grams(r, 1), _grams(r, 2))).otherwise(F.array(fold(r))))
-    return F.filter(F.flatten(parts), lambda t: t != "")
+    runs = lambda t: F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    whole = F.translate(spaced, _ONE, _TO)
+    for c, two in _TWO.items():
+        whole = F.replace(whole, F.lit(c), F.lit(two))
+    parts = F.transform(runs(spaced), lambda r: F.when(is_cjk(r), F.concat(_grams(r, 1), _grams(r, 2))).otherwise(F.array(fold(r))))
+    each = F.filter(F.flatten(parts), lambda t: t != "")
+    return F.when(spaced.rlike(ASCII), runs(spaced)).when(~spaced.rlike(f"{CJK}|[{_RARE}]"), runs(whole)).otherwise(each)
 
 
 def stem(t: Column) -> Column:
