@@ -160,11 +160,17 @@ def default_embedder():
     dim = SentenceTransformer(name).get_sentence_embedding_dimension()
 
     def call(texts: list[str]) -> list[list[float]]:
-        return SentenceTransformer(name).encode(texts).tolist()
+        if name not in _MODELS:
+            _MODELS[name] = SentenceTransformer(name)
+        return _MODELS[name].encode(texts).tolist()
 
     return CallableEmbedder(call, dim, name)
 
 
+#: Sentence models that this process has loaded, by name.
+_MODELS: dict[str, object] = {}
+
+
 def fingerprint(value: dict) -> str:
     """32 hexadecimal digits of a canonical JSON form."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, default=str).encode()).hexdigest()[:32]

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lodeseek import model as M
 from lodeseek.functions import text as X
-from lodeseek.functions.vectors import HashingEmbedder, unit_cosine_distance
+from lodeseek.functions.vectors import HashingEmbedder
 from lodeseek.operators import fusion, graph, lexical
 from lodeseek.operators.access import visible_objects
+from lodeseek.operators.nearest import all_distances
 from lodeseek.operators.render import estimate, may_see, qname_of, render_ddl
 
 #: Fixed values of coverage.
@@ -226,8 +227,9 @@ class Catalog:
             asked = self.embedder.embed_tokens(full.select("qid", "tokens"), F.col("tokens"), "qvec").select("qid", "qvec")
         else:
             asked = self.embedder.embed_column(full, F.array_join("tokens", " "), "qvec").select("qid", "qvec")
-        # A stated set of questions against all objects of the catalog.
-        near = vectors.crossJoin(F.broadcast(asked)).select("qid", "ordinal", unit_cosine_distance(F.col("vec"), F.col("qvec")).alias("distance"))
+        # A stated set of questions against all objects of the catalog, in blocks.
+        free = F.lit(None).cast("string")
+        near = all_distances(asked.withColumn("qscope", free), vectors.select(F.col("ordinal").alias("key"), "vec", free.alias("scope"))).withColumnRenamed("key", "ordinal")
         ranks = fusion.vector_ranks(near, visible).unionByName(fusion.lexical_ranks(lexical.bm25_scores(questions, built), visible))
         fused = fusion.fuse(ranks, {"vector": vector_weight, "body": lexical_weight})
         return fusion.ranked(fusion.adjust(fused, visible, copies, rows, questions))

@@ -140,9 +140,11 @@ def idf_table(spark, sf_dir):
 (SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores) WHERE rank <= 10""")
 def bm25_topk(spark, sf_dir):
     """Every benchmark text as a question against all documents; the ten best of each."""
-    index = lexical.build_index(read(spark, sf_dir, "documents"), {"body": F.col("text")}, "doc_id")
-    scores = _rounded(lexical.bm25_scores(read(spark, sf_dir, "benchmark"), index, "item_id", "text"))
-    return lexical.top_k(scores, 10).select("qid", F.col("ordinal").alias("doc_id"), "score", "rank")
+    asked = read(spark, sf_dir, "benchmark")
+    only = lexical.question_words(asked, "item_id", "text").select("term").distinct()
+    index = lexical.build_index(read(spark, sf_dir, "documents"), {"body": F.col("text")}, "doc_id", only=only)
+    top = lexical.bm25_top(asked, index, 10, "item_id", "text", places=6)
+    return top.select("qid", F.col("ordinal").alias("doc_id"), "score", "rank")
 
 
 FIELDS = {"body": "text", "name": "source", "prose": "lang"}
@@ -153,8 +155,9 @@ f AS (SELECT qid, doc_id, round(coalesce(sum(1.0 / (61 + rank)) FILTER (WHERE fi
 FROM r GROUP BY 1, 2) SELECT qid, doc_id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS place FROM f) WHERE place <= 20""")
 def rrf_hybrid(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    index = lexical.build_index(docs, {f: F.col(c) for f, c in FIELDS.items()}, "doc_id")
     questions = spark.createDataFrame(QUESTIONS, "qid int, question string")
+    only = lexical.question_words(questions).select("term").distinct()
+    index = lexical.build_index(docs, {f: F.col(c) for f, c in FIELDS.items()}, "doc_id", only=only)
     scores = _rounded(lexical.bm25_scores(questions, index))
     ranks = fusion.lexical_ranks(scores, docs.select(F.col("doc_id").alias("ordinal")))
     fused = fusion.fuse(ranks).withColumn("score", F.round("score", 9))
