@@ -1,4 +1,4 @@
-"""A vector store kept up to date by a stream: each micro-batch is one upsert."""
+"""A vector store kept up to date by a stream: each micro-batch is one upsert of the parts that it touches."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery

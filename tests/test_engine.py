@@ -138,6 +138,10 @@ def test_descriptions(spark, tmp_path):
     text = clean_description("Sure! Here is the description: **The cust_ord table holds** one row per order line. | orders, qty, sales lines; orders", ("s.cust_ord", "cust_ord"), frozenset({"qty"}))
     assert text == "One row per order line. | orders, sales lines"
     assert looks_truncated("cut off") and not looks_truncated("Done.") and not is_usable("cust_ord.", ("cust_ord",)) and clean_description(None) == ""
+    assert clean_description("Okay. Answer: - orders - by day | `Orders`, a list of far too many words, orders") == "Orders - by day | orders"
+    assert clean_description("Here are the facts about it: The shop view lists 1. things", ("shop",)) == "1. things"
+    assert clean_description("Results of all tests, sure: kept.") == "Results of all tests, sure: kept." and clean_description("w " * 70) == "W" + " w" * 59
+    assert is_usable("Rows of it. | a", require_aliases=True) and not is_usable("Rows of it.", require_aliases=True)
     c = Catalog(spark).add(obj("a", columns=[column("id")])).add(obj("b", columns=[column("id")]))
     path = str(tmp_path / "cache.json")
     d = Describer(lambda p: "Rows of things. | words" if " a:" in p else 1 / 0, cache=DescriptionCache(path))
@@ -202,13 +206,50 @@ def test_service(spark, shop):
     server.shutdown()
 
 
-def test_searches_in_blocks_agree(spark):
-    from lodeseek.operators.store import nearest_many
-
-    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0], None if k % 3 else "s") for k in range(60)], "key long, vec array<double>, scope string")
-    asked = rows.where("key % 4 = 0").select(F.col("key").alias("qid"), F.col("vec").alias("qvec"), F.lit("s").alias("qscope"))
-    one, many = (sorted(map(tuple, nearest_many(asked, rows, 4, 9.0, "EUCLIDEAN", block=b).collect())) for b in (100, 4))
-    assert one == many and len(one) == 4 * 15
+def test_searches_in_blocks_agree(spark, monkeypatch):
+    """Blocks of any size, and few rows at a time, give what the distances of column expressions give."""
+    from lodeseek.functions.vectors import DISTANCES
+    from lodeseek.operators import nearest
+
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0] if k else [0.0] * 3, None if k % 3 else "s") for k in range(60)], "key long, vec array<double>, scope string")
+    rows = rows.unionByName(rows.where("key < 4"))
+    asked = rows.where("key % 4 = 0").distinct().select(F.col("key").cast("int").alias("qid"), F.col("vec").alias("qvec"), F.when(F.col("key") > 8, "s").alias("qscope"))
+    pairs = asked.crossJoin(rows).where("scope IS NULL OR scope = qscope")
+    for metric, distance in DISTANCES.items():
+        want = {}
+        for r in pairs.select("qid", "key", F.round(distance(F.col("vec"), F.col("qvec")), 9).alias("d")).collect():
+            want.setdefault(r.qid, []).append((r.d + 0.0, r.key))
+        want = {q: [x for x in sorted(v)[:4] if x[0] <= 2.0] for q, v in want.items()}
+        for size, held in ((1 << 20, 1 << 20), (48, 1 << 20), (1 << 20, 1)):
+            monkeypatch.setattr(nearest, "HELD", held)
+            got = {}
+            for r in nearest.nearest_many(asked, rows, 4, 2.0, metric, places=9, block_bytes=size).orderBy("qid", "rank").collect():
+                got.setdefault(r.qid, []).append((r.distance, r.key))
+            assert got == {q: v for q, v in want.items() if v}, metric
+    assert nearest.nearest_many(asked.limit(0), rows).count() == 0 == nearest.nearest_many(asked, rows.limit(0)).count()
+
+
+def test_store_survives_a_failed_write(spark, tmp_path):
+    s = local_store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("a", f"k{i}", [float(i)], {"b": "2", "a": str(i)}, None) for i in range(40)], "ns string, key string, vec array<double>, payload map<string,string>, scope string")
+    s.upsert(rows)
+    before = s._parts()
+    s._commit, kept = lambda *a: 1 / 0, s._commit
+    with pytest.raises(ZeroDivisionError):
+        s.upsert(rows.withColumn("vec", F.array(F.lit(9.0))))
+    s._commit = kept
+    assert s.count("a") == 40 and s.get("a", "k7").vec == [7.0]
+    # Another writer in between is noticed.
+    with pytest.raises(RuntimeError):
+        s._commit(before, 0)
+    s.upsert(rows.where("key = 'k7'").withColumn("vec", F.array(F.lit(8.0))))
+    changed = {k for k, v in s._parts().items() if before[k] != v}
+    assert len(changed) == 1 and s.get("a", "k7").vec == [8.0] and s.count("a") == 40
+    twice = rows.where("key = 'k1'").unionByName(rows.where("key = 'k1'").withColumn("payload", F.create_map(F.lit("z"), F.lit("1"))))
+    for again in (twice, twice.orderBy(F.desc(F.to_json("payload")))):
+        s.upsert(again)
+        assert s.get("a", "k1").payload == {"z": "1"}
+    assert len(s._versions()) == 2 and s.purge("a") == 40 and s.count("a") == 0 and s.purge("a") == 0
 
 
 def test_rel_json_parses_every_event(spark, tmp_path):
