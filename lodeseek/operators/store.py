@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions.vectors import DISTANCES
-from lodeseek.operators.nearest import nearest_many
+from lodeseek.operators.nearest import all_distances, nearest_many
 from lodeseek.session import materialise
 
-__all__ = ["BUCKETS", "ROWS", "ParquetStore", "in_scope", "local_store", "nearest", "nearest_many"]
+__all__ = ["BUCKETS", "ROWS", "ParquetStore", "all_distances", "in_scope", "local_store", "nearest", "nearest_many"]
 
 #: Parts of a namespace: a change rewrites those that it touches.
 BUCKETS = 16
