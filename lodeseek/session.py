@@ -46,7 +46,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Compresses well, and in heap memory: many small tables leave no buffers outside it.
+#: Of intermediate tables, which are read a few times and go.
 CODEC = "zstd"
 
 
@@ -62,13 +62,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file of a small table, and the files that even the smallest may have.
+FILE_ROWS, LEAST_FILES = 50_000, 8
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, whose rows are at most `rows`, in fewer partitions than a shuffle has if there is no work for all of them.
+
+    Every file costs a task and some processes of the file system, which small tables needn't pay.
+    """
+    files = max(LEAST_FILES, -(-rows // FILE_ROWS))
+    return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 class Scratch:
     """Tables that an operator writes on its way, so that it can remove those that its result does not read."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df as a table and read it again; in few files if it has no more than so many rows."""
+        df = df if rows is None else few_files(df, rows)
         path = fresh_path(self.spark, name)
         df.write.option("compression", CODEC).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
