@@ -73,10 +73,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession)
     first = scratch.write(_first_names(docs, id_col, text_col, block_bytes, scratch.write), "op5-names")
     base = first.where("pos = 0").select("rid", "id", "sha")
-    most = first.agg(F.max("n")).first()[0] or 1
+    most, blocks = first.agg(F.max("n"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0))).first()
+    most, blocks = most or 1, blocks or 0
     done = [first.where("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     now, level = first.where("n > 1").select("rid", "n", "pos", "name"), 0
     while most > 1:
+        # Each round has at most half of the blocks of the one before, and one more for each document.
         level, most = level + 1, (most + 1) // 2
         pairs = now.groupBy("rid", F.shiftright("pos", 1).alias("pos")).agg(
             F.max("n").alias("n"),
@@ -88,8 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "rid", "pos", F.shiftright(F.col("n") + 1, 1).alias("n"), "a",
             F.coalesce(F.col("b.name"), F.lit(0)).alias("b"), F.col("b").isNotNull().alias("two"),
         )
-        names = scratch.write(_named(pairs.select("a", "b", "two").distinct(), ["a", "b", "two"], "name"), "op5-pairs")
-        step = scratch.write(pairs.join(names, ["a", "b", "two"]).select("rid", "n", "pos", "name"), "op5-round")
+        names = scratch.write(_named(pairs.select("a", "b", "two").distinct(), ["a", "b", "two"], "name"), "op5-pairs", blocks)
+        step = scratch.write(pairs.join(names, ["a", "b", "two"]).select("rid", "n", "pos", "name"), "op5-round", blocks)
         done.append(step.where("n = 1").select("rid", F.lit(level).alias("level"), "name"))
         now = step.where("n > 1")
     named = done[0]

@@ -350,7 +350,10 @@ class _Join:
     """Lists of the sets of classes, and the links between classes: a, b and subset (found in a list of subsets)."""
 
     def __init__(self, sets: DataFrame, percent: int, write):
-        self.sets, self.percent, self.write = sets, percent, write
+        self.sets, self.percent = sets, percent
+        # No table has more rows than the sets have shingles, but for those of subsets, whose cost is bounded by that.
+        most = sets.agg(F.sum("n")).first()[0] or 0
+        self.write = lambda df, name: write(df, name, most)
         self.can, self.links = _can_link(percent), []
 
     def _several(self, rows: DataFrame) -> DataFrame:
