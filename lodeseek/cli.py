@@ -1,11 +1,16 @@
-"""Command line: demo, select, sql, certify."""
+"""Command line: demo, select, sql, describe, studio, certify."""
 
 import argparse
+import contextlib
 import sys
+import threading
 
 from lodeseek.model import Principal
+from lodeseek.operators.describe import DescriptionCache, Describer, describe_prompt
 from lodeseek.operators.select import Catalog
 from lodeseek.plans.guard import MAX_QUESTION, MAX_TOP_K, GuardedSession
+from lodeseek.plans.providers import auto_provider
+from lodeseek.service import Tools, serve
 from lodeseek.session import get_spark
 from lodeseek.sources import demo, reflect
 
@@ -38,15 +43,31 @@ def certify(spark) -> list[tuple[str, bool]]:
     return checks
 
 
+def describe(catalog: Catalog, cache: str | None = None, provider=None) -> int:
+    """Descriptions of the objects that have none, by the model of the environment; without one, what it would be asked."""
+    provider = provider or auto_provider()
+    rows = catalog.objects().where("description IS NULL")
+    if provider is None:
+        print("\n\n".join(describe_prompt(r) for r in rows.orderBy("ordinal").collect()))
+        return 0
+    worker = Describer(lambda prompt: provider.complete("You describe database objects in plain words.", prompt, 200), cache=DescriptionCache(cache))
+    found = worker.describe(rows)
+    print("\n".join(f"{q}: {text}" for q, text in found.items()))
+    print(f"{catalog.describe(found)} described, {len(worker.failures)} failed, {len(worker.truncated)} cut off", file=sys.stderr)
+    return int(bool(worker.failures))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodeseek")
-    p.add_argument("command", choices=["demo", "select", "sql", "certify"])
+    p.add_argument("command", choices=["demo", "select", "sql", "describe", "studio", "certify"])
     p.add_argument("text", nargs="?", default="")
     p.add_argument("--parquet", help="folder of tables; the demo if not given")
     p.add_argument("--tables", default="", help="names of the tables of the folder")
     p.add_argument("--top-k", type=int, default=6)
     p.add_argument("--as", dest="subject")
     p.add_argument("--roles", default="")
+    p.add_argument("--port", type=int, default=8000, help="of studio; 0 takes any")
+    p.add_argument("--cache", help="file that keeps descriptions")
     a = p.parse_args(argv)
     spark = get_spark()
     who = Principal(a.subject, set(filter(None, a.roles.split(",")))) if a.subject else None
@@ -66,6 +87,15 @@ def main(argv: list[str] | None = None) -> int:
         got = GuardedSession(spark, catalog.objects().collect(), tables, who).run(a.text)
         print(got.error or format_rows(got.columns, got.rows))
         return int(bool(got.error))
+    if a.command == "describe":
+        return describe(catalog, a.cache)
+    if a.command == "studio":
+        server = serve(Tools(spark, lambda: (catalog, tables), auto_provider()), a.port)
+        print(f"http://127.0.0.1:{server.server_port}/")
+        with contextlib.suppress(KeyboardInterrupt):
+            threading.Event().wait()
+        server.shutdown()
+        return 0
     for q in [a.text[:MAX_QUESTION]] if a.command == "select" else demo.GOLDEN:
         picked = catalog.select(q, top_k=max(1, min(a.top_k, MAX_TOP_K)), principal=who)
         print(f"{q}\n{picked.explain()}\n\n{picked.prompt_fragment()}\n")

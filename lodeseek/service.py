@@ -1,15 +1,21 @@
 """Operations for callers: tools by name, and the same over HTTP."""
 
+import html
 import json
 import threading
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import functions as F
+
 from lodeseek.model import Principal
+from lodeseek.operators.describe import Describer
 from lodeseek.operators.render import may_see, qname_of, render_ddl
 from lodeseek.operators.select import Catalog, expand_glossary
 from lodeseek.plans.answer import Provider, generate_sql
 from lodeseek.plans.guard import MAX_QUESTION, MAX_TOP_K, GuardedSession
+from lodeseek.plans.providers import available_providers
+from lodeseek.sources.remember import ConnectionMemory
 
 
 class Tools:
@@ -95,29 +101,137 @@ def retriever(tools: Tools, top_k: int = 6, principal: Principal | None = None)
     return retrieve
 
 
-def serve(tools: Tools, port: int = 0) -> ThreadingHTTPServer:
-    """GET /api/objects and /api/health, POST /api/<tool> with JSON arguments."""
+class Studio:
+    """What the HTTP routes do beside the tools (U3, U4): settings, hints, a glossary, descriptions, connections and models."""
+
+    def __init__(self, tools: Tools, memory: ConnectionMemory | None = None, connect: Callable[[dict], tuple[Catalog, dict]] | None = None):
+        self.tools, self.memory, self.connector = tools, memory, connect
+        self.hinted: dict[str, str] = {}
+        self.options = {"top_k": 6}
+
+    def objects(self) -> dict:
+        rows = sorted(self.tools.catalog._rows.values(), key=lambda r: (r["schema"] or "", r["name"]))
+        told = lambda r: (r["hint"] or r["description"] or "").split(" | ")[0]
+        return {"total": len(rows), "objects": [{"name": qname_of(r), "kind": r["kind"].lower(), "schema": r["schema"] or "", "columns": len(r["columns"]), "description": told(r)} for r in rows if not r["roles"]]}
+
+    def settings(self, body: dict | None = None) -> dict:
+        if body:
+            if "top_k" in body:
+                self.options["top_k"] = max(1, min(int(body["top_k"]), MAX_TOP_K))
+        rows = self.tools.catalog._rows.values()
+        return self.options | {
+            "objects": len(rows), "described": sum(bool(r["description"]) for r in rows), "has_model": self.tools.provider is not None,
+            "allow_connect": self.connector is not None, "remembers": bool(self.memory and self.memory.allowed),
+        }
+
+    def select(self, body: dict) -> dict:
+        return self.tools.call("select_schema", {"top_k": self.options["top_k"]} | body)
+
+    def answer(self, body: dict) -> dict:
+        return self.tools.call("answer", body)
+
+    def resync(self, body: dict) -> dict:
+        """Builds the catalog anew; descriptions and hints are carried over."""
+        out = self.tools.call("refresh_catalog")
+        return out if "error" in out else out | {"hints": len(self.hints({"hints": self.hinted})["hints"])}
+
+    def hints(self, body: dict) -> dict:
+        """Hints by object; those of objects that are not there are left out."""
+        for name, text in (body.get("hints") or {}).items():
+            try:
+                self.tools.catalog.hint(name, text)
+                self.hinted[name] = text
+            except KeyError:
+                continue
+        return {"hints": dict(self.hinted)}
+
+    def glossary(self, body: dict) -> dict:
+        if "glossary" in body:
+            self.tools.glossary = {str(k): str(v) for k, v in body["glossary"].items() if str(k).strip() and str(v).strip()}
+        return {"glossary": self.tools.glossary}
+
+    def describe(self, body: dict) -> dict:
+        """Descriptions by the model, for the caller to look at; nothing is changed."""
+        if self.tools.provider is None:
+            return {"error": "no model is configured"}
+        provider = self.tools.provider
+        worker = Describer(lambda prompt: provider.complete("You describe database objects in plain words.", prompt, 200))
+        rows = self.tools.catalog.objects().where("description IS NULL")
+        names = body.get("names")
+        found = worker.describe(rows.where(F.col("name").isin(list(names))) if names else rows)
+        return {"descriptions": found, "failed": worker.failures, "truncated": worker.truncated}
+
+    def apply_descriptions(self, body: dict) -> dict:
+        return {"applied": self.tools.catalog.describe(dict(body["descriptions"]), only_missing=not body.get("replace"))}
+
+    def connect(self, body: dict) -> dict:
+        if self.connector is None:
+            return {"error": "connections are not allowed here"}
+        catalog, tables = self.connector(body)
+        self.tools.build = lambda: self.connector(body)
+        self.tools.catalog, self.tools.tables = catalog, tables
+        kept = bool(self.memory and body.get("remember") and self.memory.save(str(body.get("name") or "default"), body))
+        return {"objects": len(catalog), "remembered": kept}
+
+    def connections(self, body: dict) -> dict:
+        """Names and kinds of connections that are kept, never their secrets; forget removes one."""
+        if self.memory is None:
+            return {"connections": []}
+        if body.get("forget"):
+            self.memory.forget(str(body["forget"]))
+        return {"connections": [{"name": n, "kind": c.get("kind"), "host": c.get("host")} for n, c in self.memory.all().items()]}
+
+    def models(self, body: dict) -> dict:
+        return {"available": available_providers(), "configured": self.tools.provider is not None}
+
+    POSTS = ("select", "answer", "settings", "describe", "apply-descriptions", "connect", "resync", "connections", "models", "hints", "glossary")
+
+    def page(self) -> str:
+        rows = "".join(f"<tr><td>{html.escape(o['name'])}</td><td>{o['kind']}</td><td>{o['columns']}</td><td>{html.escape(o['description'])}</td></tr>" for o in self.objects()["objects"])
+        return f"""<!doctype html><meta charset="utf-8"><title>lodeseek</title><h1>{len(self.tools.catalog)} objects</h1>
+<form onsubmit="fetch('/api/select',{{method:'POST',body:JSON.stringify({{question:q.value}})}}).then(r=>r.json()).then(r=>out.textContent=r.ddl||r.error);return false">
+<input id="q" size="60" placeholder="A question"><button>Select</button></form><pre id="out"></pre>
+<table><tr><th>name<th>kind<th>columns<th>about</tr>{rows}</table>"""
+
+
+def serve(tools: Tools, port: int = 0, memory: ConnectionMemory | None = None, connect: Callable[[dict], tuple[Catalog, dict]] | None = None) -> ThreadingHTTPServer:
+    """GET /, /api/objects, /api/health and /api/settings; POST /api/ and a name of Studio.POSTS or of a tool, with a JSON object."""
+    studio = Studio(tools, memory, connect)
 
     class Handler(BaseHTTPRequestHandler):
-        def _reply(self, value: dict, code: int = 200) -> None:
-            data = json.dumps(value, default=str).encode()
+        def _send(self, data: bytes, kind: str, code: int) -> None:
             self.send_response(code)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(data)))
+            self.send_header("Cache-Control", "no-store")
             self.end_headers()
             self.wfile.write(data)
 
+        def _reply(self, value: dict, code: int = 200) -> None:
+            self._send(json.dumps(value, default=str).encode(), "application/json; charset=utf-8", code)
+
         def do_GET(self) -> None:
-            tool = {"/api/objects": "list_objects", "/api/health": "health"}.get(self.path)
-            self._reply(tools.call(tool) if tool else {"error": "not found"}, 200 if tool else 404)
+            if self.path in ("/", "/index.html"):
+                return self._send(studio.page().encode(), "text/html; charset=utf-8", 200)
+            got = {"/api/objects": studio.objects, "/api/health": lambda: tools.call("health"), "/api/settings": studio.settings}.get(self.path)
+            self._reply(got() if got else {"error": "not found"}, 200 if got else 404)
 
         def do_POST(self) -> None:
+            name = self.path.removeprefix("/api/")
+            if name not in (*Studio.POSTS, *Tools.NAMES):
+                return self._reply({"error": "not found"}, 404)
             try:
-                args = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
             except ValueError:
-                self._reply({"error": "not JSON"}, 400)
-                return
-            self._reply(tools.call(self.path.removeprefix("/api/"), args))
+                return self._reply({"error": "not JSON"}, 400)
+            if not isinstance(body, dict):
+                return self._reply({"error": "not a JSON object"}, 400)
+            try:
+                self._reply(getattr(studio, name.replace("-", "_"))(body) if name in Studio.POSTS else tools.call(name, body))
+            except (ValueError, TypeError, KeyError) as e:
+                self._reply({"error": f"{type(e).__name__}: {e}"}, 400)
+            except Exception as e:  # noqa: BLE001
+                self._reply({"error": type(e).__name__}, 500)
 
         def log_message(self, *args) -> None:
             pass

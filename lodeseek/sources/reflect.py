@@ -61,6 +61,39 @@ class Hooks:
         return {(r[0].lower(), r[1].lower() if r[1] else None) for r in rows}
 
 
+    def queries(self) -> dict[str, str]:
+        """The queries of columns, keys and views, in the columns of INFORMATION."""
+        return INFORMATION
+
+    def types(self, spark: SparkSession, url: str, **options) -> dict[str, str]:
+        """What a type is in full, by its name or by schema.table.column; empty if the query fails."""
+        if not self.types_query:
+            return {}
+        try:
+            rows = spark.read.format("jdbc").options(url=url, query=self.types_query, **options).load().collect()
+        except Exception:  # noqa: BLE001
+            return {}
+        return {r[0].lower(): r[1] for r in rows if r[0] and r[1]}
+
+
+#: Types that tell nothing, for which a column's own entry is looked up.
+UNKNOWN_TYPES = frozenset({"", "null", "undefined", "user-defined", "other"})
+
+
+def fill_unknown_types(objects: list[dict], types: dict[str, str]) -> int:
+    """Gives columns the full text of their type where types has its name, or has the column of an unknown type; returns how many."""
+    filled = 0
+    for o in objects:
+        for c in o["columns"]:
+            own = (c["type"] or "").lower()
+            at = f"{o['schema'] or ''}.{o['name']}.{c['name']}".lower()
+            text = types.get(at) if own in UNKNOWN_TYPES else types.get(own)
+            if text and text != c["type"]:
+                c["type"] = text
+                filled += 1
+    return filled
+
+
 class PostgreSQL(Hooks):
     objects_query = """SELECT n.nspname, c.relname FROM pg_depend d JOIN pg_class c ON c.oid = d.objid JOIN pg_namespace n ON n.oid = c.relnamespace
 WHERE d.deptype = 'e' AND d.classid = 'pg_class'::regclass
@@ -71,6 +104,11 @@ FROM pg_enum e WHERE e.enumtypid = t.oid) ELSE 'DOMAIN OVER ' || format_type(t.t
     def is_internal_schema(self, name: str) -> bool:
         return name.lower().startswith(("pg_", "_timescaledb_", "crdb_"))
 
+    def queries(self) -> dict[str, str]:
+        """Enums and domains by their own names, so that the query of types can tell what they are."""
+        named = "coalesce(domain_name, CASE WHEN data_type = 'USER-DEFINED' THEN udt_name ELSE data_type END) AS type"
+        return INFORMATION | {"columns": INFORMATION["columns"].replace("data_type AS type", named)}
+
 
 class Oracle(Hooks):
     objects_query = "SELECT username, NULL FROM all_users WHERE oracle_maintained = 'Y'"
@@ -80,6 +118,28 @@ WHEN data_type = 'NUMBER' AND data_precision IS NOT NULL THEN 'NUMBER(' || data_
     def is_internal_schema(self, name: str) -> bool:
         return "$" in name or name.lower().startswith(("apex_", "flows_", "ords_"))
 
+    def queries(self) -> dict[str, str]:
+        """The dictionary views in place of an information schema. A key's target is found by its constraint."""
+        seen = "NOT IN (SELECT username FROM all_users WHERE oracle_maintained = 'Y')"
+        return {
+            "columns": f"SELECT owner AS s, table_name AS t, column_name AS c, data_type AS type, CASE nullable WHEN 'N' THEN 'NO' ELSE 'YES' END AS n, column_id AS p FROM all_tab_columns WHERE owner {seen}",
+            "keys": f"""SELECT c.owner AS s, c.table_name AS t, k.column_name AS c, CASE c.constraint_type WHEN 'P' THEN 'PRIMARY KEY' ELSE 'FOREIGN KEY' END AS kind,
+c.constraint_name AS name, k.position AS p, r.table_name AS rt, r.column_name AS rc FROM all_constraints c
+JOIN all_cons_columns k ON k.owner = c.owner AND k.constraint_name = c.constraint_name
+LEFT JOIN all_cons_columns r ON r.owner = c.r_owner AND r.constraint_name = c.r_constraint_name AND r.position = k.position
+WHERE c.constraint_type IN ('P', 'R') AND c.owner {seen}""",
+            "views": f"SELECT owner AS s, view_name AS t, text_vc AS d FROM all_views WHERE owner {seen}",
+        }
+
+    def types(self, spark: SparkSession, url: str, **options) -> dict[str, str]:
+        """One query a database and session: its answer is kept for later calls."""
+        if url not in self._kept:
+            self._kept[url] = super().types(spark, url, **options)
+        return self._kept[url]
+
+    def __init__(self):
+        self._kept: dict[str, dict[str, str]] = {}
+
 
 HOOKS: dict[str, Hooks] = {"postgresql": PostgreSQL(), "oracle": Oracle()}
 
@@ -139,11 +199,17 @@ WHERE tc.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')""",
 }
 
 
-def reflect_jdbc(spark: SparkSession, url: str, dialect: str, default_schema: str | None = None, include=None, exclude=None, schemas=None, include_views=True, **options) -> list[dict]:
-    """Objects of a database with an information schema, by three queries."""
-    read = lambda k: spark.read.format("jdbc").options(url=url, query=INFORMATION[k], **options).load()
-    gone = HOOKS.get(dialect, Hooks()).maintained(spark, url, **options)
-    rows = assemble(read("columns"), read("keys"), read("views"))
+def reflect_jdbc(spark: SparkSession, url: str, dialect: str, default_schema: str | None = None, include=None, exclude=None, schemas=None, include_views=True, load=None, **options) -> list[dict]:
+    """Objects of a database, by three queries of its dialect, with types in full where a query of types has them.
+
+    load(query) gives the rows of a query; by default it reads over JDBC.
+    """
+    hooks = HOOKS.get(dialect, Hooks())
+    load = load or (lambda query: spark.read.format("jdbc").options(url=url, query=query, **options).load())
+    found = {k: lower_names(load(q)) for k, q in hooks.queries().items()}
+    gone = hooks.maintained(spark, url, **options)
+    rows = assemble(found["columns"], found["keys"], found["views"])
+    fill_unknown_types(rows, hooks.types(spark, url, **options))
     keep = lambda o: (
         not internal_schema(o["schema"], dialect) and (not schemas or o["schema"] in schemas) and not {(o["schema"].lower(), None), (o["schema"].lower(), o["name"].lower())} & gone
         and matches_text(o["name"], include) and not (exclude and matches_text(o["name"], exclude)) and (include_views or o["kind"] == "TABLE")
@@ -151,6 +217,11 @@ def reflect_jdbc(spark: SparkSession, url: str, dialect: str, default_schema: st
     return sorted(filter(keep, rows), key=lambda o: (o["schema"] != default_schema, o["schema"], o["kind"], o["name"]))
 
 
+def lower_names(rows: DataFrame) -> DataFrame:
+    """Columns by lower-case names: some databases give aliases in capitals."""
+    return rows.toDF(*[c.lower() for c in rows.columns])
+
+
 def assemble(columns: DataFrame, keys: DataFrame, views: DataFrame) -> list[dict]:
     """Objects from the rows of INFORMATION's queries, joined by schema and table."""
     pks = keys.where("kind = 'PRIMARY KEY'").select("s", "t", "c", F.lit(True).alias("pk"))
