@@ -1,7 +1,8 @@
 """The catalog and its selection: which objects answer a question, for a caller.
 
 Scores of all questions are one lazy plan; the ranking of a question, at most one row for each object, is
-collected once, and the steps that depend on one another (pins, reranking, coverage, expansion) run on it.
+collected once, and the steps that depend on one another (pins, reranking, coverage, expansion) run on it
+and on what has been collected once for the index.
 """
 
 import json
@@ -106,6 +107,8 @@ class Catalog:
         self.spark, self.embedder, self.name = spark, embedder or HashingEmbedder(), name
         self._rows: dict[str, dict] = {}
         self._stale, self._index = True, None
+        # The objects with the roles that were last looked at, and what a single selection needs on the driver.
+        self._seen, self._held = None, None
 
     # Edits (P5)
 
@@ -191,15 +194,36 @@ class Catalog:
         vectors = self.embedder.embed_column(rows.select("ordinal", "body_text"), F.col("body_text")).select("ordinal", "vec").cache()
         built = lexical.build_index(rows, {f: F.col(f"{f}_text") for f in M.FIELDS}, keep=False).cache()
         self._index = (rows, vectors, built, graph.shadows(rows).cache(), graph.dimensions(rows).cache())
+        self._seen, self._held = None, None
         self._stale = False
 
     def _indexed(self):
         if self._stale or self._index is None:
             self.index()
-        # Roles may have changed since.
+        # Roles may have changed since; a row for each object, as the catalog itself is on the driver.
         rows, vectors, built, copies, dims = self._index
-        own = self.spark.createDataFrame([(k, r["roles"]) for k, r in enumerate(self._rows.values())], "ordinal long, roles array<string>")
-        return rows.drop("roles").join(F.broadcast(own), "ordinal") if self._rows else rows, vectors, built, copies, dims
+        roles = [r["roles"] for r in self._rows.values()]
+        if self._rows and (self._seen is None or self._seen[0] != roles):
+            own = self.spark.createDataFrame(list(enumerate(roles)), "ordinal long, roles array<string>")
+            self._seen = (roles, rows.drop("roles").join(F.broadcast(own), "ordinal").cache())
+        return self._seen[1] if self._rows else rows, vectors, built, copies, dims
+
+    def _kept(self) -> tuple[dict[int, Row], dict[int, set], dict[str, float], set[int]]:
+        """Objects, tokens of their names, idf of these and dimensions, collected once for each index."""
+        if self._held is None:
+            rows, _, built, _, dims = self._index
+            named = rows.select("*", X.tokenize(M.name_text()).alias("name_tokens")).collect()
+            idf = {r["term"]: r["idf"] for r in built.terms.where("field = 'name'").collect()}
+            self._held = ({r["ordinal"]: r for r in named}, {r["ordinal"]: set(r["name_tokens"]) for r in named}, idf, {r["ordinal"] for r in dims.collect()})
+        return self._held
+
+    def _by_ordinal(self) -> dict[int, Row]:
+        """Objects by place, with the roles that they have now."""
+        objects = self._kept()[0]
+        names = next(iter(objects.values())).__fields__ if objects else []
+        at = names.index("roles") if names else 0
+        make = Row(*names)
+        return {k: make(*(r["roles"] if i == at else v for i, v in enumerate(objects[k]))) for k, r in enumerate(self._rows.values())}
 
     def shadows(self) -> dict[str, str]:
         rows, _, _, copies, _ = self._indexed()
@@ -246,10 +270,10 @@ class Catalog:
         self, question: str, top_k: int = 6, principal=None, expand_fks: bool = True, pin=None, vector_weight: float = 1.0, lexical_weight: float = 1.0,
         reranker: Callable[[str], str] | None = None, rerank_candidates: int = 20,
     ) -> Selection:
-        rows, _, built, _, dims = self._indexed()
+        self._indexed()
         roles = sorted(principal.roles) if principal else None
         asked = self.spark.createDataFrame([(0, question)], "qid long, question string")
-        by_ordinal = {r["ordinal"]: r for r in rows.orderBy("ordinal").collect()}
+        by_ordinal = self._by_ordinal()
         seen = {k: r for k, r in by_ordinal.items() if may_see(r["roles"], principal)}
         ranking = self.scores(asked, roles, vector_weight, lexical_weight).orderBy("place").collect()
         hits = self._pinned(pin, seen)
@@ -260,7 +284,7 @@ class Catalog:
         for r in rest[: max(0, top_k - len(hits))]:
             why = "hybrid" if r["in_vector"] and r["in_body"] else "vector" if r["in_vector"] else "lexical"
             hits.append(Hit(by_ordinal[r["ordinal"]], r["score"], why))
-        hits = self._covered(asked, hits, [by_ordinal[r["ordinal"]] for r in ranking], built, {r["ordinal"] for r in dims.collect()}, top_k)
+        hits = self._covered(asked, hits, [by_ordinal[r["ordinal"]] for r in ranking], top_k)
         if expand_fks:
             hits = self._expanded(hits, seen)
         return Selection(question, hits, list(by_ordinal.values()), principal)
@@ -275,12 +299,11 @@ class Catalog:
                     hits.append(Hit(r, 1.0, "pinned"))
         return hits
 
-    def _covered(self, asked: DataFrame, hits: list[Hit], ranking: list[Row], built, dims: set[int], top_k: int) -> list[Hit]:
+    def _covered(self, asked: DataFrame, hits: list[Hit], ranking: list[Row], top_k: int) -> list[Hit]:
         """Objects for words of the question that no chosen name has (S12): a dimension first, in place of the last hit if all places are taken."""
         tokens = X.expand_joins(X.tokenize(F.col("question")))
         found = asked.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.struct(t.alias("t"), X.stem(t).alias("s"))))).alias("x")).select("x.*").collect()
-        idf = {r["term"]: r["idf"] for r in built.terms.where(F.col("field") == "name").where(F.col("term").isin([r["t"] for r in found] or [""])).collect()}
-        names = {r["ordinal"]: set(r["tokens"]) for r in self._index[0].select("ordinal", X.tokenize(M.name_text()).alias("tokens")).collect()}
+        _, names, idf, dims = self._kept()
         chosen = {t for h in hits for t in names[h.row["ordinal"]]}
         # The index holds stems but is asked for the word as written, so most plurals never count.
         bare = [r for r in found if len(r["t"]) > 2 and r["t"] not in STOP_WORDS and idf.get(r["t"], 0.0) >= COVER_IDF and not {r["t"], r["s"]} & chosen]
