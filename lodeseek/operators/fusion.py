@@ -47,10 +47,15 @@ def fuse(ranks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     return fused.select("qid", "ordinal", score.alias("score"), *[F.col(c).isNotNull().alias(f"in_{c}") for c in parts]).where("score <> 0")
 
 
+def tokens_of(rows: DataFrame, text: str, kept: str) -> Column:
+    """Tokens of a text column, or those that the rows have already."""
+    return F.col(kept) if kept in rows.columns else X.tokenize(F.col(text))
+
+
 def named_objects(questions: DataFrame, visible: DataFrame) -> DataFrame:
     """qid, ordinal of visible objects that a question names, without those whose name begins that of another one."""
-    q = questions.select("qid", X.tokenize(F.col("question")).alias("tokens"))
-    names = visible.select("ordinal", X.tokenize(F.col("name")).alias("name_tokens")).where(F.size("name_tokens") > 0)
+    q = questions.select("qid", tokens_of(questions, "question", "tokens").alias("tokens"))
+    names = visible.select("ordinal", tokens_of(visible, "name", "name_tokens").alias("name_tokens")).where(F.size("name_tokens") > 0)
     # A named object's first token is in the question: an equi-join, not all questions by all objects.
     words = q.select("qid", "tokens", F.explode(F.array_distinct("tokens")).alias("first"))
     hits = words.join(names.withColumn("first", F.element_at("name_tokens", 1)), "first").where(X.named_in(F.col("tokens"), F.col("name_tokens")))
@@ -69,12 +74,12 @@ def adjust(fused: DataFrame, visible: DataFrame, shadows: DataFrame, objects: Da
     """
     named_any = F.coalesce(F.col("named_any"), F.lit(False))
     best = named_objects(questions, visible).withColumn("best", F.lit(True))
-    q = questions.select("qid", X.tokenize(F.col("question")).alias("tokens"))
+    q = questions.select("qid", tokens_of(questions, "question", "tokens").alias("tokens"))
     known = objects.select(F.col("qname").alias("base"), F.lit(True).alias("known"))
     seen = visible.select(F.col("qname").alias("base"), F.lit(True).alias("seen"))
     bases = shadows.join(known, "base", "left").join(seen, "base", "left")
     bases = bases.select("ordinal", (F.col("seen").isNotNull() | F.col("known").isNull()).alias("demoted"))
-    rows = fused.join(visible.select("ordinal", X.tokenize(F.col("name")).alias("name_tokens")), "ordinal").join(q, "qid")
+    rows = fused.join(visible.select("ordinal", tokens_of(visible, "name", "name_tokens").alias("name_tokens")), "ordinal").join(q, "qid")
     rows = rows.withColumn("named_any", X.named_in(F.col("tokens"), F.col("name_tokens"))).drop("tokens", "name_tokens")
     rows = rows.join(bases, "ordinal", "left").join(best, ["qid", "ordinal"], "left")
     score = F.col("score") * F.when(F.coalesce("demoted", F.lit(False)) & ~named_any, SHADOW_PENALTY).otherwise(1.0)

@@ -66,8 +66,12 @@ def build_index(docs: DataFrame, fields: dict[str, Column], ordinal: str = "ordi
 
 
 def question_words(questions: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
-    """qid, term, times: stems of tokens and joins, repeats counted, and acronyms that the question lacks."""
-    base = questions.select(F.col(qid).alias("qid"), X.tokenize(F.col(question)).alias("tokens"))
+    """qid, term, times: stems of tokens and joins, repeats counted, and acronyms that the question lacks.
+
+    Tokens that the questions have already, as a column of that name, are taken as they are.
+    """
+    tokens = F.col("tokens") if "tokens" in questions.columns else X.tokenize(F.col(question))
+    base = questions.select(F.col(qid).alias("qid"), tokens.alias("tokens"))
     stems = F.transform(X.expand_joins(F.col("tokens")), X.stem)
     base = base.select("qid", F.concat(stems, F.array_except(X.acronyms(F.col("tokens")), stems)).alias("words"))
     return base.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))

@@ -19,6 +19,7 @@ from lodeseek.operators import fusion, graph, lexical
 from lodeseek.operators.access import visible_objects
 from lodeseek.operators.nearest import all_distances
 from lodeseek.operators.render import estimate, may_see, qname_of, render_ddl
+from lodeseek.session import materialise
 
 #: Fixed values of coverage.
 COVER_IDF = 2.0
@@ -190,7 +191,7 @@ class Catalog:
 
     def index(self) -> None:
         # Kept while the edits that follow don't make it stale.
-        rows = M.with_fields(self.objects()).cache()
+        rows = M.with_fields(self.objects()).withColumn("name_tokens", X.tokenize(F.col("name"))).cache()
         vectors = self.embedder.embed_column(rows.select("ordinal", "body_text"), F.col("body_text")).select("ordinal", "vec").cache()
         built = lexical.build_index(rows, {f: F.col(f"{f}_text") for f in M.FIELDS}, keep=False).cache()
         self._index = (rows, vectors, built, graph.shadows(rows).cache(), graph.dimensions(rows).cache())
@@ -212,9 +213,9 @@ class Catalog:
         """Objects, tokens of their names, idf of these and dimensions, collected once for each index."""
         if self._held is None:
             rows, _, built, _, dims = self._index
-            named = rows.select("*", X.tokenize(M.name_text()).alias("name_tokens")).collect()
+            named = rows.withColumn("name_words", X.tokenize(M.name_text())).collect()
             idf = {r["term"]: r["idf"] for r in built.terms.where("field = 'name'").collect()}
-            self._held = ({r["ordinal"]: r for r in named}, {r["ordinal"]: set(r["name_tokens"]) for r in named}, idf, {r["ordinal"] for r in dims.collect()})
+            self._held = ({r["ordinal"]: r for r in named}, {r["ordinal"]: set(r["name_words"]) for r in named}, idf, {r["ordinal"] for r in dims.collect()})
         return self._held
 
     def _by_ordinal(self) -> dict[int, Row]:
@@ -239,9 +240,10 @@ class Catalog:
         """qid, ordinal, score, in_vector, in_body ..., place: the ranking of all questions (qid, question) in one plan."""
         rows, vectors, built, copies, _ = self._indexed()
         visible = visible_objects(rows, user_roles)
+        # Tokenized once: the plans of all channels begin with the tokens.
+        questions = materialise(questions.select("qid", "question", X.tokenize(F.col("question")).alias("tokens")), "questions")
         # Joins that the body field knows, by stem, are added to the question's tokens.
-        tokens = questions.select("qid", X.tokenize(F.col("question")).alias("tokens"))
-        joins = tokens.select("qid", "tokens", F.posexplode_outer(F.array_except(X.expand_joins(F.col("tokens")), F.col("tokens"))).alias("p", "join"))
+        joins = questions.select("qid", "tokens", F.posexplode_outer(F.array_except(X.expand_joins(F.col("tokens")), F.col("tokens"))).alias("p", "join"))
         known = built.terms.where("field = 'body'").select(F.col("term").alias("join"), F.lit(True).alias("known"))
         joins = joins.join(known, "join", "left").groupBy("qid").agg(
             F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("p", "join")))).alias("j")

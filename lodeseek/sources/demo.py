@@ -18,6 +18,31 @@ _TABLES = {
     "ship_shipment": "id int, id_order int, id_warehouse int, dispatched_at string, delivered_at string",
     "hr_employee": "id int, id_party int, employee_number string, hired_on string, id_manager int",
     "hr_compensation": "id int, id_employee int, annual_amount double, pay_grade string",
+    "crm_contact": "id int, id_customer int, full_name string, email string, phone string",
+    "crm_campaign": "id int, title string, started_on string, budget double",
+    "crm_ticket": "id int, id_customer int, opened_at string, closed_at string, subject string, severity string",
+    "cat_category": "id int, title string, id_parent int",
+    "cat_price_list": "id int, id_product int, valid_from string, price double, currency string",
+    "cat_supplier_item": "id int, id_product int, id_pur_supplier int, supplier_sku string, lead_days int",
+    "sales_quote": "id int, quote_number string, id_customer int, valid_until string, total_net double",
+    "sales_return": "id int, id_order int, returned_on string, reason string, refund double",
+    "sales_channel": "id int, code string, title string",
+    "billing_invoice_line": "id int, id_invoice int, id_product int, quantity double, net double",
+    "billing_credit_note": "id int, id_invoice int, issued_on string, amount double",
+    "billing_tax_rate": "id int, country string, rate double, valid_from string",
+    "inv_stock_move": "id int, id_warehouse int, id_product int, moved_at string, quantity double, kind string",
+    "inv_count": "id int, id_warehouse int, counted_on string, id_employee int",
+    "pur_supplier": "id int, id_party int, supplier_number string, rating int",
+    "pur_order": "id int, po_number string, id_supplier int, ordered_on string, total_net double",
+    "pur_order_line": "id int, id_pur_order int, id_product int, quantity double, unit_cost double",
+    "pur_receipt": "id int, id_pur_order int, id_warehouse int, received_on string",
+    "ship_carrier": "id int, code string, title string",
+    "ship_tracking_event": "id int, id_shipment int, happened_at string, place string, state string",
+    "hr_department": "id int, title string, id_manager int",
+    "hr_leave": "id int, id_employee int, first_day string, last_day string, kind string",
+    "fin_account": "id int, number string, title string, kind string",
+    "fin_ledger_entry": "id int, id_account int, booked_on string, debit double, credit double",
+    "dim_ct_mstr": "id int, ct_cd string, ct_desc string, actv_flg int",
     "sales_order_bkp": "id int, order_number string, id_customer int",
     "fct_txn_ln": "id int, txn_dt string, id_ct int, amt double, qty double",
 }
@@ -30,12 +55,41 @@ HINTS = {
     "billing_payment": "Payments received against invoices",
     "fct_txn_ln": "Sales transactions by line, from the old system",
     "inv_stock_level": "Stock on hand by warehouse and product",
+    "crm_ticket": "Complaints and questions of customers to the help desk",
+    "sales_return": "Goods sent back by customers and what was refunded",
+    "hr_leave": "Holidays and sick days of staff",
+    "cat_supplier_item": "Which supplier sells a product and how long delivery takes",
+    "billing_tax_rate": "Value added tax by country",
+    "ship_tracking_event": "Where a parcel was seen on its way",
+    "dim_ct_mstr": "Categories of the old system's transactions",
+    "fin_ledger_entry": "Bookings of the general ledger",
 }
 GOLDEN = {
     "Which invoices are still unpaid?": {"billing_invoice"},
     "stock on hand by warehouse": {"inv_stock_level", "inv_warehouse"},
     "orders of each customer": {"sales_order", "crm_customer"},
     "shipment delivered late": {"ship_shipment"},
+    "open tickets by severity": {"crm_ticket"},
+    "total of purchase orders by supplier": {"pur_order", "pur_supplier"},
+    "employees in each department": {"hr_employee", "hr_department"},
+    "returns and their reason": {"sales_return"},
+    "credit notes of an invoice": {"billing_credit_note", "billing_invoice"},
+    "price of a product over time": {"cat_price_list"},
+    "ledger entries of an account": {"fin_ledger_entry", "fin_account"},
+    "stock moves last week": {"inv_stock_move"},
+}
+#: The same needs in the words of the business.
+PARAPHRASES = {
+    "who still owes us money": {"billing_invoice"},
+    "which goods did people send back": {"sales_return"},
+    "complaints to the help desk": {"crm_ticket"},
+    "who is on holiday": {"hr_leave"},
+    "where is the parcel now": {"ship_tracking_event"},
+    "how long does delivery from a supplier take": {"cat_supplier_item"},
+    "value added tax of each country": {"billing_tax_rate"},
+    "bookings of the general ledger": {"fin_ledger_entry"},
+    "transactions of the old system": {"fct_txn_ln"},
+    "goods available in stores": {"inv_stock_level"},
 }
 RESTRICTED = {"hr_compensation": ["payroll"]}
 SEED = {
@@ -59,5 +113,12 @@ def demo_objects() -> list[dict]:
     return out
 
 
+def demo_recall(catalog, questions: dict[str, set], top_k: int = 6) -> tuple[float, float]:
+    """The share of gold objects that selections of these questions have, and the mean share of tokens that they save."""
+    picked = [(catalog.select(q, top_k=top_k), gold) for q, gold in questions.items()]
+    found = sum(len(gold & set(s.table_names())) for s, gold in picked)
+    return found / sum(map(len, questions.values())), sum(s.savings() for s, _ in picked) / len(picked)
+
+
 def demo_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame(SEED.get(n, []), ddl) for n, ddl in _TABLES.items()}
