@@ -92,7 +92,7 @@ CAST(max(datediff('day', o_orderdate, TIMESTAMP '1998-12-31')) AS BIGINT) AS old
 WHERE p_type LIKE '%E%' GROUP BY 1, 2, 3"""),
     "rel_json": (
         "SELECT event_id, get_json_object(props, '$.k') AS k, props IS NULL AS no_props FROM events",
-        "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NULL AS no_props FROM events WHERE event_id < 500"),
+        "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NULL AS no_props FROM events"),
     "rel_case_pivot": (
         """SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o
 FROM orders GROUP BY o_orderpriority""",
