@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.session import materialise, ship_package
+from lodeseek.session import Scratch, materialise, ship_package
 
 #: Bytes of the vectors of one block of queries, and distances that a task holds at a time.
 BLOCK_BYTES = 16 << 20
@@ -82,20 +82,27 @@ class Best:
         )
 
 
-def _blocks(queries: DataFrame, block_bytes: int) -> Iterator[dict]:
-    """The queries in blocks of about so many bytes of vectors."""
-    asked = materialise(queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"), F.col("qscope").cast("string").alias("qscope")), "queries")
+def _blocks(queries: DataFrame, block_bytes: int) -> tuple[int, Iterator[dict]]:
+    """How many blocks of about so many bytes of vectors there are, and the blocks, one at a time."""
+    scratch = Scratch(queries.sparkSession)
+    asked = scratch.write(queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"), F.col("qscope").cast("string").alias("qscope")), "queries")
     count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("qvec"))).first()
     blocks = max(1, -(-count * 8 * (width or 1) // block_bytes))
-    for b in range(blocks):
-        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        table = own.toArrow()
-        if not len(table):
-            continue
-        names = {s: i for i, s in enumerate(sorted({s for s in table.column("qscope").to_pylist() if s is not None}))}
-        vectors = np.concatenate([_matrix(c) for c in table.column("qvec").chunks if len(c)])
-        scopes = np.array([names.get(s, -2) for s in table.column("qscope").to_pylist()])
-        yield {"qid": table.column("qid").to_pylist(), "kind": table.schema.field("qid").type, "names": names, "vectors": vectors, "scopes": scopes}
+
+    def each() -> Iterator[dict]:
+        for b in range(blocks):
+            own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+            table = own.toArrow()
+            if not len(table):
+                continue
+            names = {s: i for i, s in enumerate(sorted({s for s in table.column("qscope").to_pylist() if s is not None}))}
+            vectors = np.concatenate([_matrix(c) for c in table.column("qvec").chunks if len(c)])
+            scopes = np.array([names.get(s, -2) for s in table.column("qscope").to_pylist()])
+            yield {"qid": table.column("qid").to_pylist(), "kind": table.schema.field("qid").type, "names": names, "vectors": vectors, "scopes": scopes}
+        # The blocks are on the executors now.
+        scratch.clear()
+
+    return blocks, each()
 
 
 def _prepared(rows: DataFrame, several: bool) -> DataFrame:
@@ -139,13 +146,13 @@ def _searched(queries: DataFrame, rows: DataFrame, k: int | None, metric: str, p
     ship_package(spark)
     qid, key = (df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (rows, "key")))
     schema = f"qid {qid}, key {key}, distance double"
-    blocks = list(_blocks(queries, block_bytes))
-    rows = _prepared(rows, len(blocks) > 1)
-    out = spark.createDataFrame([], schema) if not blocks else None
+    count, blocks = _blocks(queries, block_bytes)
+    rows = _prepared(rows, count > 1)
+    out = None
     for block in blocks:
         near = rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), k, metric, places), schema)
         out = near if out is None else out.unionByName(near)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _scan(shared, k: int | None, metric: str, places: int):

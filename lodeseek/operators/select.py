@@ -241,7 +241,8 @@ class Catalog:
         rows, vectors, built, copies, _ = self._indexed()
         visible = visible_objects(rows, user_roles)
         # Tokenized once: the plans of all channels begin with the tokens.
-        questions = materialise(questions.select("qid", "question", X.tokenize(F.col("question")).alias("tokens")), "questions")
+        if "tokens" not in questions.columns:
+            questions = materialise(questions.select("qid", "question", X.tokenize(F.col("question")).alias("tokens")), "questions")
         # Joins that the body field knows, by stem, are added to the question's tokens.
         joins = questions.select("qid", "tokens", F.posexplode_outer(F.array_except(X.expand_joins(F.col("tokens")), F.col("tokens"))).alias("p", "join"))
         known = built.terms.where("field = 'body'").select(F.col("term").alias("join"), F.lit(True).alias("known"))
@@ -274,7 +275,8 @@ class Catalog:
     ) -> Selection:
         self._indexed()
         roles = sorted(principal.roles) if principal else None
-        asked = self.spark.createDataFrame([(0, question)], "qid long, question string")
+        asked = self.spark.createDataFrame([(0, question)], "qid long, question string").withColumn("tokens", X.tokenize(F.col("question")))
+        asked = self.spark.createDataFrame(asked.collect(), asked.schema)
         by_ordinal = self._by_ordinal()
         seen = {k: r for k, r in by_ordinal.items() if may_see(r["roles"], principal)}
         ranking = self.scores(asked, roles, vector_weight, lexical_weight).orderBy("place").collect()
@@ -303,7 +305,7 @@ class Catalog:
 
     def _covered(self, asked: DataFrame, hits: list[Hit], ranking: list[Row], top_k: int) -> list[Hit]:
         """Objects for words of the question that no chosen name has (S12): a dimension first, in place of the last hit if all places are taken."""
-        tokens = X.expand_joins(X.tokenize(F.col("question")))
+        tokens = X.expand_joins(F.col("tokens"))
         found = asked.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.struct(t.alias("t"), X.stem(t).alias("s"))))).alias("x")).select("x.*").collect()
         _, names, idf, dims = self._kept()
         chosen = {t for h in hits for t in names[h.row["ordinal"]]}

@@ -3,14 +3,20 @@
 import atexit
 import os
 import pathlib
+import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Names that fresh_path gives.
+_OURS = re.compile(r"-[0-9a-f]{32}(\.\w+)?$")
+
+
 def get_spark(app: str = "lodeseek", cpus: int | None = None) -> SparkSession:
     """Return the running session, or start a local one sized for this machine."""
     cores = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -104,6 +110,19 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Remove what is older than so many hours from the shared folder, and return how many folders went.
+
+    Results are lazy, so the tables that they read stay until they are no longer wanted: the caller says when.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs, before, gone = place.getFileSystem(spark._jsc.hadoopConfiguration()), (time.time() - 3600 * hours) * 1000, 0
+    for entry in fs.listStatus(place) if fs.exists(place) else []:
+        if entry.getModificationTime() <= before and _OURS.search(entry.getPath().getName()):
+            gone += bool(fs.delete(entry.getPath(), True))
+    return gone
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, so that Python workers can import it."""
     context = spark.sparkContext

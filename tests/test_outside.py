@@ -152,3 +152,28 @@ def test_late_events_are_dropped(spark, tmp_path):
     batch([("2024-01-01 00:02:00", 2), ("2024-01-01 01:45:00", 2), ("2024-01-01 05:00:00", 2)])
     got = windows.run_once(stream(), out, state, "append")
     assert {(r.since.strftime("%H:%M"), r.n) for r in got.collect()} == {("00:00", 1), ("01:40", 1), ("02:00", 1)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from lodeseek import session
+
+    path = session.fresh_path(spark, "sweep-test")
+    spark.range(3).write.parquet(path)
+    other = session.shared_dir(spark) + "/not-ours"
+    spark.range(3).write.mode("overwrite").parquet(other)
+    assert session.sweep(spark, 24) == 0 and spark.read.parquet(path).count() == 3
+    scratch = session.Scratch(spark)
+    kept, gone = scratch.write(spark.range(5).toDF("id"), "kept", 5), scratch.write(spark.range(5).toDF("id"), "gone")
+    scratch.clear(kept)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|no such file"):
+        gone.count()
+    session.remove(spark, path)
+    session.remove(spark, other)
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(Far())
