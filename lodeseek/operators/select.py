@@ -19,6 +19,7 @@ from lodeseek.operators import fusion, graph, lexical
 from lodeseek.operators.access import visible_objects
 from lodeseek.operators.nearest import all_distances
 from lodeseek.operators.render import estimate, may_see, qname_of, render_ddl
+from lodeseek.operators.serving import ServedIndex
 from lodeseek.session import materialise
 
 #: Fixed values of coverage.
@@ -209,13 +210,14 @@ class Catalog:
             self._seen = (roles, rows.drop("roles").join(F.broadcast(own), "ordinal").cache())
         return self._seen[1] if self._rows else rows, vectors, built, copies, dims
 
-    def _kept(self) -> tuple[dict[int, Row], dict[int, set], dict[str, float], set[int]]:
-        """Objects, tokens of their names, idf of these and dimensions, collected once for each index."""
+    def _kept(self) -> tuple[dict[int, Row], dict[int, set], dict[str, float], set[int], ServedIndex]:
+        """Objects, tokens of their names, idf of these, dimensions and the index itself, collected once."""
         if self._held is None:
-            rows, _, built, _, dims = self._index
+            rows, vectors, built, copies, dims = self._index
             named = rows.withColumn("name_words", X.tokenize(M.name_text())).collect()
-            idf = {r["term"]: r["idf"] for r in built.terms.where("field = 'name'").collect()}
-            self._held = ({r["ordinal"]: r for r in named}, {r["ordinal"]: set(r["name_words"]) for r in named}, idf, {r["ordinal"] for r in dims.collect()})
+            served = ServedIndex(rows, vectors, built, copies)
+            idf = {term: x for (field, term), x in served.idf.items() if field == "name"}
+            self._held = ({r["ordinal"]: r for r in named}, {r["ordinal"]: set(r["name_words"]) for r in named}, idf, {r["ordinal"] for r in dims.collect()}, served)
         return self._held
 
     def _by_ordinal(self) -> dict[int, Row]:
@@ -275,24 +277,30 @@ class Catalog:
     ) -> Selection:
         self._indexed()
         roles = sorted(principal.roles) if principal else None
-        asked = self.spark.createDataFrame([(0, question)], "qid long, question string").withColumn("tokens", X.tokenize(F.col("question")))
-        asked = self.spark.createDataFrame(asked.collect(), asked.schema)
+        tokens = X.words_of(question)
         by_ordinal = self._by_ordinal()
         seen = {k: r for k, r in by_ordinal.items() if may_see(r["roles"], principal)}
-        ranking = self.scores(asked, roles, vector_weight, lexical_weight).orderBy("place").collect()
+        ranking = self._ranking(question, tokens, roles, set(seen), {"vector": vector_weight, "body": lexical_weight})
         hits = self._pinned(pin, seen)
         taken = {h.row["ordinal"] for h in hits}
-        rest = [r for r in ranking if r["ordinal"] not in taken]
+        rest = [r for r in ranking if r.ordinal not in taken]
         if reranker is not None:
             rest = rerank(question, rest, by_ordinal, reranker, top_k, rerank_candidates, principal)
         for r in rest[: max(0, top_k - len(hits))]:
-            why = "hybrid" if r["in_vector"] and r["in_body"] else "vector" if r["in_vector"] else "lexical"
-            hits.append(Hit(by_ordinal[r["ordinal"]], r["score"], why))
-        hits = self._covered(asked, hits, [by_ordinal[r["ordinal"]] for r in ranking], top_k)
+            why = "hybrid" if r.in_vector and r.in_body else "vector" if r.in_vector else "lexical"
+            hits.append(Hit(by_ordinal[r.ordinal], r.score, why))
+        hits = self._covered(tokens, hits, [by_ordinal[r.ordinal] for r in ranking], top_k)
         if expand_fks:
             hits = self._expanded(hits, seen)
         return Selection(question, hits, list(by_ordinal.values()), principal)
 
+    def _ranking(self, question: str, tokens: list[str], roles, seen: set[int], weights: dict[str, float]) -> list:
+        """The ranking of one question: on the driver, or by the plan for many if vectors come from somewhere else."""
+        if isinstance(self.embedder, HashingEmbedder):
+            return self._kept()[4].rank(tokens, self.embedder.vector, seen, weights)
+        asked = self.spark.createDataFrame([(0, question, tokens)], "qid long, question string, tokens array<string>")
+        return self.scores(asked, roles, weights["vector"], weights["body"]).orderBy("place").collect()
+
     def _pinned(self, pin, seen: dict[int, Row]) -> list[Hit]:
         """All visible objects of each pinned qname or bare name, in the order of the pins."""
         hits, taken = [], set()
@@ -303,11 +311,10 @@ class Catalog:
                     hits.append(Hit(r, 1.0, "pinned"))
         return hits
 
-    def _covered(self, asked: DataFrame, hits: list[Hit], ranking: list[Row], top_k: int) -> list[Hit]:
+    def _covered(self, tokens: list[str], hits: list[Hit], ranking: list[Row], top_k: int) -> list[Hit]:
         """Objects for words of the question that no chosen name has (S12): a dimension first, in place of the last hit if all places are taken."""
-        tokens = X.expand_joins(F.col("tokens"))
-        found = asked.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.struct(t.alias("t"), X.stem(t).alias("s"))))).alias("x")).select("x.*").collect()
-        _, names, idf, dims = self._kept()
+        found = [{"t": t, "s": X.stem_word(t)} for t in dict.fromkeys(X.with_joins(tokens))]
+        _, names, idf, dims, _ = self._kept()
         chosen = {t for h in hits for t in names[h.row["ordinal"]]}
         # The index holds stems but is asked for the word as written, so most plurals never count.
         bare = [r for r in found if len(r["t"]) > 2 and r["t"] not in STOP_WORDS and idf.get(r["t"], 0.0) >= COVER_IDF and not {r["t"], r["s"]} & chosen]
@@ -362,7 +369,7 @@ def rerank(question: str, rest: list[Row], by_ordinal: dict[int, Row], reranker,
     if len(head) <= 1:
         return rest
     try:
-        reply = reranker(rerank_prompt(question, [by_ordinal[r["ordinal"]] for r in head], principal))
+        reply = reranker(rerank_prompt(question, [by_ordinal[r.ordinal] for r in head], principal))
         chosen = choose(reply, len(head), top_k)
     except Exception:  # noqa: BLE001  a model that fails leaves the order as it is
         return rest

@@ -257,3 +257,30 @@ def test_rel_json_parses_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.k, r.no_props) for r in relational.QUERIES["rel_json"](spark, str(tmp_path)).collect()}
     assert got == {k: (str(k), False) for k in (0, 499, 500, 501, 9999, 10**9)} | {700: (None, True), 701: (None, False), 702: (None, False), 703: ("a b", False)}
+
+
+def test_one_question_ranks_like_many(spark, shop):
+    """The driver's ranking is that of the plan for many questions: places, scores and channels, for each caller."""
+    from lodeseek.operators.select import Catalog as C
+
+    names = ["net_asset_value", "warehouse_count", "ärzte_daten", "売上_明細", "sales_order", "order", "queries_of_classes", "orders_bak_20260101", "straße"]
+    other = C(spark).add_all([obj(n, "s" if k % 2 else None, columns=[column("id", pk=True), column(f"{n}_id")], description=f"All of {n} | {n[:4]} things", roles=["r"] if k == 4 else None) for k, n in enumerate(names)])
+    asked = [*demo.GOLDEN, *demo.PARAPHRASES, "", "sales order", "NAV of the ware house", "net asset value", "売上 detail of Ärzte", "orders orders classes", "STRASSE order", "hr compensation", "bak 2026"]
+    for c, roles in ((shop, None), (shop, ["payroll"]), (other, None), (other, ["r"])):
+        rows = c.scores(spark.createDataFrame(list(enumerate(asked)), "qid int, question string"), roles).collect()
+        want = {}
+        for r in sorted(rows, key=lambda r: (r.qid, r.place)):
+            want.setdefault(r.qid, []).append((r.ordinal, round(r.score, 12), r.in_vector, r.in_body))
+        c._indexed()
+        seen = {k for k, r in c._by_ordinal().items() if not r["roles"] or set(r["roles"]) & set(roles or [])}
+        for k, q in enumerate(asked):
+            got = c._ranking(q, X.words_of(q), roles, seen, {"vector": 1.0, "body": 1.0})
+            assert [(r.ordinal, round(r.score, 12), r.in_vector, r.in_body) for r in got] == want.get(k, []), q
+
+
+def test_driver_forms_of_text_functions(spark):
+    texts = ["customerOrders_2x", "facturación Straße Øre ǆ ﬁn ½", "売上明細ab ＡＢ", "", "a b c 1 d e f g", "net asset value of classes ties queries boxes bus", "İstanbul ΑΣ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.tokenize(F.col("t")).alias("w"))
+    for r in rows.select("*", X.expand_joins(F.col("w")).alias("j"), X.acronyms(F.col("w")).alias("a"), F.transform("w", X.stem).alias("s")).collect():
+        assert X.words_of(r.t) == r.w, r.t
+        assert (X.with_joins(r.w), X.initials(r.w), [X.stem_word(w) for w in r.w]) == (r.j, r.a, r.s)
