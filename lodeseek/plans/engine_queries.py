@@ -92,12 +92,6 @@ def view_identifiers(spark, sf_dir):
     return rows.select("view_id", X.identifiers(F.col("sql")).alias("identifiers"))
 
 
-@query("parse_choice")
-def parse_choice(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", X.parse_choice(F.col("text"), F.lit(20), F.lit(5)).alias("choice"))
-
-
 # Lexical index
 
 

@@ -151,10 +151,10 @@ def text_identifiers(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", X.identifiers(F.col("text")).alias("identifiers"))
 
 
-@query("choices", r"""WITH r AS (SELECT conv_id, turn, list_filter(regexp_extract_all(coalesce(text, ''), '[\w.]+'), lambda x: regexp_matches(x, '^[0-9]{1,9}(\.|$)')) AS r FROM conversations),
+@query("parse_choice", r"""WITH r AS (SELECT conv_id, turn, list_filter(regexp_extract_all(coalesce(text, ''), '[\w.]+'), lambda x: regexp_matches(x, '^[0-9]{1,9}(\.|$)')) AS r FROM conversations),
 n AS (SELECT conv_id, turn, list_filter(list_transform(r, lambda x: regexp_extract(x, '^[0-9]+')::BIGINT), lambda x: x BETWEEN 1 AND 20) AS n FROM r),
 d AS (SELECT conv_id, turn, list_filter(n, lambda x, i: list_position(n, x) = i)[1:5] AS d FROM n) SELECT conv_id, turn, coalesce(array_to_string(d, ','), '') AS choice FROM d""")
-def choices(spark, sf_dir):
+def parse_choice(spark, sf_dir):
     """Numbers that a reply chooses, in its order."""
     rows = read(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.array_join(X.parse_choice(F.col("text"), F.lit(20), F.lit(5)).cast("array<string>"), ",").alias("choice"))
