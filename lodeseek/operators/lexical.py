@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
 from lodeseek.operators.nearest import BLOCK_BYTES, HELD, Best
-from lodeseek.session import materialise, ship_package
+from lodeseek.session import materialise, ship_package, spread
 
 K1 = 1.4
 B = 0.72
@@ -43,8 +43,11 @@ def build_index(docs: DataFrame, fields: dict[str, Column], ordinal: str = "ordi
     Postings are written to the shared folder if keep. They carry the length of their document, so that
     scoring needs no further join.
     """
+    # Only what is indexed moves, and only if it would be tokenized by a few tasks.
+    docs = docs.select(F.col(ordinal).alias("ordinal"), *[t.alias(f"text_{f}") for f, t in fields.items()])
+    fields, docs = {f: F.col(f"text_{f}") for f in fields}, spread(docs) if keep else docs
     rows = docs.select(
-        F.col(ordinal).alias("ordinal"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokenize(t).alias("tokens")) for f, t in fields.items()])).alias("x")
+        "ordinal", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokenize(t).alias("tokens")) for f, t in fields.items()])).alias("x")
     ).select("ordinal", "x.field", "x.tokens")
     words = rows.select(
         "field", "ordinal", F.size("tokens").cast("long").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("t")
@@ -77,9 +80,10 @@ def question_words(questions: DataFrame, qid: str = "qid", question: str = "ques
     return base.select("qid", F.explode("words").alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def query_terms(questions: DataFrame, index: Index, qid: str = "qid", question: str = "question") -> DataFrame:
-    """qid, field, term, idf, times of the words that the field knows."""
-    return question_words(questions, qid, question).join(index.terms.select("field", "term", "idf"), "term")
+def query_terms(questions: DataFrame, index: Index, qid: str = "qid", question: str = "question", words: DataFrame | None = None) -> DataFrame:
+    """qid, field, term, idf, times of the words that the field knows; words are those of the questions, if they are there already."""
+    words = question_words(questions, qid, question) if words is None else words
+    return words.join(index.terms.select("field", "term", "idf"), "term")
 
 
 def bm25_scores(questions: DataFrame, index: Index, qid: str = "qid", question: str = "question") -> DataFrame:
@@ -96,7 +100,7 @@ def bm25_scores(questions: DataFrame, index: Index, qid: str = "qid", question:
     return hits.groupBy("qid", "field", "ordinal").agg((F.sum(fixed) / F.lit(float(1 << PLACES))).alias("score"))
 
 
-def bm25_top(questions: DataFrame, index: Index, k: int, qid: str = "qid", question: str = "question", places: int = 9, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def bm25_top(questions: DataFrame, index: Index, k: int, qid: str = "qid", question: str = "question", places: int = 9, block_bytes: int = BLOCK_BYTES, words: DataFrame | None = None) -> DataFrame:
     """qid, field, ordinal, score, rank of the k best of each question and field, ties by ordinal: as top_k of bm25_scores.
 
     Weights of a block of questions are a matrix of terms and questions. Postings of these terms are dealt by
@@ -105,7 +109,7 @@ def bm25_top(questions: DataFrame, index: Index, k: int, qid: str = "qid", quest
     """
     spark = questions.sparkSession
     ship_package(spark)
-    terms = materialise(query_terms(questions, index, qid, question), "terms")
+    terms = materialise(query_terms(questions, index, qid, question, words), "terms")
     kinds = {c: t.simpleString() for c, t in (("qid", terms.schema["qid"].dataType), ("ordinal", index.postings.schema["ordinal"].dataType))}
     # Most of what a block can need: its questions times its terms.
     asked, words = terms.agg(F.countDistinct("qid"), F.countDistinct("field", "term")).first()

@@ -11,6 +11,7 @@ from lodeseek.model import OBJECTS, column, foreign_key, obj
 from lodeseek.operators import access, evaluation, fusion, graph, lexical, sampling, store
 from lodeseek.operators.select import Catalog, expand_glossary
 from lodeseek.plans.guard import GuardedSession
+from lodeseek.session import materialise, spread
 from lodeseek.sources.demo import demo_objects
 from lodeseek.sources.reflect import matches, reflect_parquet
 
@@ -48,7 +49,7 @@ STEM = (
 
 @query("tokenize_docs", f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)""")
 def tokenize_docs(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.tokenize(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
@@ -68,7 +69,8 @@ def expand_joins(spark, sf_dir):
 @query("token_estimate", """SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z\\s]'),
 lambda p: CASE WHEN regexp_full_match(p, '[A-Za-z]+') THEN greatest(1, round_even(length(p) / 4.0, 0)) ELSE 1 END)), 0)::BIGINT AS tokens FROM documents""")
 def token_estimate(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query("description_checks", """SELECT conv_id, turn, left(text, 0) || trim(string_split(coalesce(text, ''), ' | ')[1]) AS sentence,
@@ -135,9 +137,9 @@ def idf_table(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     """Every benchmark text as a question against all documents; the ten best of each."""
     asked = read(spark, sf_dir, "benchmark")
-    only = lexical.question_words(asked, "item_id", "text").select("term").distinct()
-    index = lexical.build_index(read(spark, sf_dir, "documents"), {"body": F.col("text")}, "doc_id", only=only)
-    top = lexical.bm25_top(asked, index, 10, "item_id", "text", places=6)
+    words = materialise(lexical.question_words(asked, "item_id", "text"), "words")
+    index = lexical.build_index(read(spark, sf_dir, "documents"), {"body": F.col("text")}, "doc_id", only=words.select("term").distinct())
+    top = lexical.bm25_top(asked, index, 10, "item_id", "text", places=6, words=words)
     return top.select("qid", F.col("ordinal").alias("doc_id"), "score", "rank")
 
 

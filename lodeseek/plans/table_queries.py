@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as X
@@ -270,32 +270,37 @@ def _run(spark, rows: DataFrame, mode: str = "complete") -> DataFrame:
     return windows.run_once(rows, fresh_path(spark, "stream"), fresh_path(spark, "stream-state"), mode)
 
 
+def _wall(name: str, more: str = "") -> Column:
+    """A time as the clock of the table has it, whatever the zone of the session."""
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss" + more).alias(name)
+
+
 def _totals() -> dict:
     return {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 4)}
 
 
-@query("stream_tumbling", "SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS since, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("stream_tumbling", "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     """Events of each hour and type, from a stream."""
     rows = windows.windowed(_stream(spark, sf_dir), _totals(), "1 hour", by=("event_type",))
-    return _run(spark, rows).select(F.unix_timestamp("since").alias("since"), "event_type", "n", "total")
+    return _run(spark, rows).select(_wall("since"), "event_type", "n", "total")
 
 
-@query("stream_sliding", """WITH e AS (SELECT *, unnest([0, 1, 2]) AS k FROM events), w AS (SELECT epoch(time_bucket(INTERVAL '20 minutes', ts))::BIGINT - k * 1200 AS since, value FROM e)
+@query("stream_sliding", """WITH e AS (SELECT *, unnest([0, 1, 2]) AS k FROM events), w AS (SELECT strftime(time_bucket(INTERVAL '20 minutes', ts) - to_minutes(k * 20), '%Y-%m-%d %H:%M:%S') AS since, value FROM e)
 SELECT since, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1""")
 def stream_sliding(spark, sf_dir):
     """Events of each hour, every 20 minutes: each event is in three windows."""
     rows = windows.windowed(_stream(spark, sf_dir), _totals(), "1 hour", "20 minutes")
-    return _run(spark, rows).select(F.unix_timestamp("since").alias("since"), "n", "total")
+    return _run(spark, rows).select(_wall("since"), "n", "total")
 
 
 @query("stream_sessions", """WITH e AS (SELECT user_id, ts, value, ts >= lag(ts) OVER w + INTERVAL '2 hours' OR lag(ts) OVER w IS NULL AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT user_id, epoch_us(min(ts))::BIGINT AS since, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS since, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
     """Sessions of users that end after two hours without an event, from a stream."""
     rows = windows.sessions(_stream(spark, sf_dir), _totals(), "2 hours", ("user_id",))
-    return _run(spark, rows).select("user_id", F.unix_micros("since").alias("since"), "n", "total")
+    return _run(spark, rows).select("user_id", _wall("since", ".SSSSSS"), "n", "total")
 
 
 @query("stream_without_repeats", "SELECT DISTINCT user_id, event_type FROM events")

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodeseek-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -81,6 +81,12 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it has fewer partitions than there are cores: small files come as one. Larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables that an operator writes on its way, so that it can remove those that its result does not read."""
 
